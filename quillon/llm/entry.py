@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontam, mixing, quality, secrets
+from quillon.llm import decontam, mixing, quality, secrets, token_orc, warc
+from quillon.llm.common import fresh_dir
 from quillon.llm.oracle import SQL
 
 
@@ -26,6 +28,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_dir(spark, "token-orc")
+    token_orc.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_orc.digests(spark, path)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_dir(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality.verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -100,10 +100,11 @@ def thresholds(measured: DataFrame, labels: DataFrame, stratum: str, alpha: floa
     known = measured.join(good, "doc_id", "left_semi")
     counts = [F.sum((F.expr(metric) > c).cast("long")).alias(f"{rule}:{i}") for rule, (metric, grid) in RULES.items() for i, c in enumerate(grid)]
     table = known.groupBy(F.coalesce(F.col(stratum), F.lit("\x00")).alias("_stratum")).agg(F.count(F.lit(1)).alias("n"), *counts)
-    table = table.crossJoin(F.broadcast(table.agg(F.count(F.lit(1)).alias("strata"))))  # one row beside one row per stratum
+    table = cut(table)
+    strata = max(1, table.count())
     cells = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"`{rule}:{i}`").alias("k")) for rule, (_, grid) in RULES.items() for i, c in enumerate(grid)])
     tests = sum(len(grid) for _, grid in RULES.values())
-    proven = table.select("_stratum", "n", "strata", F.explode(cells).alias("c")).where(tail(F.col("n"), F.col("c.k"), alpha / len(RULES)) <= delta / (tests * F.col("strata")))
+    proven = table.select("_stratum", "n", F.explode(cells).alias("c")).where(tail(F.col("n"), F.col("c.k"), alpha / len(RULES)) <= delta / (tests * strata))
     best = proven.groupBy("_stratum", "c.rule").agg(F.min("c.cutoff").alias("cutoff"))
     return best.groupBy("_stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 
