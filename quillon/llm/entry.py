@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontam, jaccard_join, mixing, quality, secrets, token_orc, warc
+from quillon.llm import decontam, jaccard_join, lm_score, mixing, quality, secrets, token_orc, warc
 from quillon.llm.common import fresh_dir
 from quillon.llm.oracle import SQL
 
@@ -34,6 +34,10 @@ def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.digests(spark, path)
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_table(spark, sf_dir, "documents"))
 
