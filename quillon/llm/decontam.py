@@ -25,12 +25,18 @@ def normalised(text):
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NON_WORD), "")
 
 
+def window_hash(ws, i, n: int):
+    """Hash of the n words from i on; words past the end leave the hash as it is. (slice() would copy the
+    whole array each time.)"""
+    return F.xxhash64(*[F.get(ws, i + k) for k in range(n)])
+
+
 def window_set(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """Distinct windows: w_hash, w_words, w_size and the sorted item_ids that hold them."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), normalised(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     n = F.least(F.size("ws"), F.lit(size))
     rows = items.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.slice("ws", i, n))).alias("w_words"))
-    return rows.groupBy("w_words").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.xxhash64("w_words").alias("w_hash"), "w_words", F.size("w_words").alias("w_size"), "items")
+    return rows.groupBy("w_words").agg(F.sort_array(F.collect_set("item")).alias("items")).select(window_hash(F.col("w_words"), F.lit(0), size).alias("w_hash"), "w_words", F.size("w_words").alias("w_size"), "items")
 
 
 def _key():
@@ -38,10 +44,10 @@ def _key():
 
 
 def _windows(n: int):
-    """Hash, first word (from 1) and size of each window of n words of `ws`."""
-    at = F.sequence(F.lit(1), F.greatest(F.size("ws") - n + 1, F.lit(1)))
-    rows = F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("ws", i, n)).alias("h"), i.alias("i"), F.lit(n).alias("n")))
-    return F.when(F.size("ws") >= n, rows).otherwise(F.array().cast("array<struct<h:bigint,i:int,n:int>>"))
+    """Size n and the hashes of the windows of n words of `ws`, in order."""
+    at = F.sequence(F.lit(0), F.greatest(F.size("ws") - n, F.lit(0)))
+    hashes = F.transform(at, lambda i: window_hash(F.col("ws"), i, n))
+    return F.struct(F.lit(n).alias("n"), F.when(F.size("ws") >= n, hashes).otherwise(F.array().cast("array<bigint>")).alias("hs"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
@@ -51,11 +57,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     sizes = sorted(r[0] for r in windows.select("w_size").distinct().collect())
     few = windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     df = docs.select("doc_id", _key(), normalised(F.col("text")).alias("ws"))
-    each = [_windows(n) for n in sizes or [size]]
-    probes = df.select("doc_id", "t_hash", "ws", F.explode(each[0] if len(each) == 1 else F.concat(*each)).alias("p")).select("doc_id", "t_hash", "ws", "p.h", "p.i", "p.n")
-    probes = probes if few else probes.withColumn("ws", F.slice("ws", F.col("i"), F.col("n")))
-    own = F.slice("ws", F.col("i"), F.col("n")) if few else F.col("ws")
-    found = probes.join(F.broadcast(windows) if few else windows, (F.col("h") == F.col("w_hash")) & (F.col("n") == F.col("w_size")) & (own == F.col("w_words")))
+    # The arrays are made in a projection of their own, as generators over plain columns are compiled; the
+    # outer kind keeps Spark from inferring a filter that would compute the arrays twice.
+    df = df.withColumn("sized", F.array(*[_windows(n) for n in sizes or [size]]))
+    one = df.select("doc_id", "t_hash", "ws", F.explode_outer("sized").alias("s")).select("doc_id", "t_hash", "ws", "s.n", "s.hs")
+    probes = one.select("doc_id", "t_hash", "ws", "n", F.posexplode_outer("hs").alias("i", "h")).withColumn("i", F.col("i") + 1)
+    own = F.slice("ws", F.col("i"), F.col("n"))
+    probes = probes if few else probes.withColumn("ws", own)
+    own = own if few else F.col("ws")
+    # two comparisons, lest the words become a key of the join and are built for every window
+    same = (own >= F.col("w_words")) & (own <= F.col("w_words"))
+    found = probes.join(F.broadcast(windows) if few else windows, (F.col("h") == F.col("w_hash")) & same)
     found = found.select("doc_id", "t_hash", F.struct((F.col("i") - 1).alias("at"), F.col("n").alias("n")).alias("span"), "items")
     return found.groupBy("doc_id", "t_hash").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
