@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontam, jaccard_join, lm_score, mixing, quality, secrets, token_orc, warc
+from quillon.llm import decontam, jaccard_join, lm_score, mixing, pii, quality, secrets, token_orc, warc
 from quillon.llm.common import fresh_dir
 from quillon.llm.oracle import SQL
 
@@ -20,6 +20,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_table(spark, sf_dir, "documents"), pii.default_model())
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
