@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontam, jaccard_join, lm_score, mixing, pii, quality, secrets, token_orc, warc
+from quillon.llm import decontam, jaccard_join, lm_score, mixing, pii, quality, secrets, suffix_dedup, token_orc, warc
 from quillon.llm.common import fresh_dir
 from quillon.llm.oracle import SQL
 
@@ -32,6 +32,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "token-orc")
     token_orc.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
