@@ -8,7 +8,7 @@ counts of all of them. Base: add-0.1 unigrams.
 No n-gram is a row and no table of counts is broadcast. A pass over the texts packs the documents of a task
 into blocks; each block asks, per range of hashes, for the counts of its distinct n-grams and brings its own
 counts along. A range is summed over all blocks in one place, which answers every block in the order asked.
-A frequent word is one entry of a block, so no key is hot.
+A frequent word is one entry of a block, so no key is hot. Words go by 64-bit hashes, pairs by PAIR_BITS.
 
 Defined results: null and empty texts have the end token alone; a null doc_id counts as empty text (remainder
 0: held out); rows of equal doc_id are separate documents; without training tokens N and V are 0 and every
@@ -39,6 +39,8 @@ BUCKETS, STEPS, ROUNDS = 16, 20, 60
 END, START = np.uint64(0x5EED0E4D), np.uint64(0x5EED057A)  # no word hashes to these but by chance
 NONE = -10_000  # log probability of a component that is 0, in steps
 TRAIN, DEL, OUT = 0, 1, 2
+#: Two pairs of n distinct ones share a key with probability n * n / 2 ** (PAIR_BITS + 1); their counts are then added.
+PAIR_BITS = 48
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -59,7 +61,7 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     x = (v * np.uint64(0x9E3779B97F4A7C15)) ^ (w + (v << np.uint64(7)))
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) >> np.uint64(64 - PAIR_BITS)
 
 
 def ngrams(ids: np.ndarray, vocab: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,11 +73,9 @@ def ngrams(ids: np.ndarray, vocab: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     return v, pair_keys(v, w)
 
 
-def _pack_blocks(ranges: int):
-    """Rows of two kinds: block rows (range null: doc_ids, sizes, ids, vocab) and asked rows (range set: keys
-    and own counts of single words, then of pairs)."""
-    width = np.uint64((1 << 64) // ranges + 1)
-    names = ["range", "block", "part", "k1", "n1", "k2", "n2"]
+def _pack_blocks():
+    """One row per block: number, part, doc_ids, sizes, ids and vocab, packed."""
+    names = ["block", "part", "docs", "sizes", "ids", "vocab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -84,30 +84,16 @@ def _pack_blocks(ranges: int):
         held: list[tuple[list, list, list[np.ndarray]]] = [([], [], []) for _ in range(3)]
         tokens = [0, 0, 0]
 
-        def flush(part: int) -> Iterator[pa.RecordBatch]:
+        def flush(part: int) -> pa.RecordBatch:
             nonlocal made
-            ids_, sizes, hashes = held[part]
+            docs, sizes, hashes = held[part]
             block, made = task << 20 | made, made + 1
             vocab, ids = np.unique(np.concatenate(hashes), return_inverse=True)
-            ids, sizes = ids.astype(np.uint32), np.array(sizes, np.int64)
-            v, keys = ngrams(ids, vocab, sizes)
-            pairs, n2 = np.unique(keys, return_counts=True)
-            n1 = np.bincount(ids, minlength=len(vocab))
-            at = int(np.searchsorted(vocab, START))
-            single, n1 = np.insert(vocab, at, START), np.insert(n1, at, len(sizes))
-            valid = np.array([x is not None for x in ids_])
-            doc_ids = np.array([0 if x is None else x for x in ids_], np.int64)
-            names_ = pack(doc_ids)
-            rows = [[None, block, part, len(names_).to_bytes(4, "little") + names_ + pack(valid.astype(np.uint8)), pack(sizes), pack(ids), pack(vocab)]]
-            edges = [np.uint64(r) * width for r in range(1, ranges)]
-            cut1, cut2 = np.searchsorted(single, edges), np.searchsorted(pairs, edges)
-            for r, (a, b, c, d) in enumerate(zip([0, *cut1], [*cut1, len(single)], [0, *cut2], [*cut2, len(pairs)])):
-                if b > a or d > c:
-                    delta = lambda x: np.diff(x, prepend=np.uint64(0))
-                    rows.append([r, block, part, pack(delta(single[a:b])), pack(n1[a:b].astype(np.uint32)), pack(delta(pairs[c:d])), pack(n2[c:d].astype(np.uint32))])
-            kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+            known = pack(np.array([0 if x is None else x for x in docs], np.int64))
+            named = len(known).to_bytes(4, "little") + known + pack(np.array([x is not None for x in docs], np.uint8))
+            row = [[block], [part], [named], [pack(np.array(sizes, np.int64))], [pack(ids.astype(np.uint32))], [pack(np.diff(vocab, prepend=np.uint64(0)))]]
             held[part], tokens[part] = ([], [], []), 0
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, [pa.int64(), pa.int32(), *[pa.binary()] * 4])], names=names)
 
         for b in batches:
             for doc_id, rest, text in zip(b.column("doc_id").to_pylist(), b.column("rest").to_pylist(), b.column("text")):
@@ -126,10 +112,42 @@ def _pack_blocks(ranges: int):
                     to.append(x)
                 tokens[part] += len(h)
                 if tokens[part] >= BLOCK_TOKENS:
-                    yield from flush(part)
+                    yield flush(part)
         for part in (TRAIN, DEL, OUT):
             if held[part][0]:
-                yield from flush(part)
+                yield flush(part)
+
+    return run
+
+
+def _opened(sizes: bytes, ids: bytes, vocab: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return unpack(sizes, np.int64), unpack(ids, np.uint32), np.cumsum(unpack(vocab, np.uint64), dtype=np.uint64)
+
+
+def _asks(ranges: int):
+    """Per block and range of hashes: keys and own counts of single words (and the start), then of pairs."""
+    names = ["range", "block", "part", "k1", "n1", "k2", "n2"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    edges = [np.array([r * ((1 << bits) // ranges + 1) for r in range(1, ranges)], np.uint64) for bits in (64, PAIR_BITS)]
+
+    def delta(x: np.ndarray) -> bytes:
+        return pack(np.diff(x, prepend=np.uint64(0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, part, *raw in zip(*[b.column(c).to_pylist() for c in ("block", "part", "sizes", "ids", "vocab")]):
+                sizes, ids, vocab = _opened(*raw)
+                _, keys = ngrams(ids, vocab, sizes)
+                pairs, n2 = np.unique(keys, return_counts=True)
+                n1 = np.bincount(ids, minlength=len(vocab))
+                at = int(np.searchsorted(vocab, START))
+                single, n1 = np.insert(vocab, at, START), np.insert(n1, at, len(sizes))
+                cut1, cut2 = np.searchsorted(single, edges[0]), np.searchsorted(pairs, edges[1])
+                rows = []
+                for r, (i, j, k, m) in enumerate(zip([0, *cut1], [*cut1, len(single)], [0, *cut2], [*cut2, len(pairs)])):
+                    if j > i or m > k:
+                        rows.append([r, block, part, delta(single[i:j]), pack(n1[i:j].astype(np.uint32)), delta(pairs[k:m]), pack(n2[k:m].astype(np.uint32))])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
     return run
 
@@ -154,8 +172,8 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
             stats = [int(every[word].sum()), int((every[word] > 0).sum()), int(kept[word].sum()), int((kept[word] > 0).sum())]
         ends = np.cumsum(size)
         for s, e, p in zip(ends - size, ends, parts):
-            answers[both[0]].append(pack(every[at[s:e]].astype(np.uint64)))
-            answers[both[1]].append(pack(kept[at[s:e]].astype(np.uint64)) if p == DEL else b"")
+            answers[both[0]].append(pack(every[at[s:e]].astype(np.uint32)))
+            answers[both[1]].append(pack(kept[at[s:e]].astype(np.uint32)) if p == DEL else b"")
     for i, (block, p) in enumerate(zip(blocks, parts)):
         for k, x in zip(out, (pdf["range"].iloc[0], block, p, answers[0][i], answers[1][i], answers[2][i], answers[3][i])):
             out[k].append(x)
@@ -170,12 +188,12 @@ ANSWER = "range int, block long, part int, a1 binary, a2 binary, b1 binary, b2 b
 def _counts(block: pd.DataFrame, answers: pd.DataFrame, one: str, two: str):
     """(doc_ids, valid, sizes, c(w), c(v), c(v,w)) per token of a block."""
     row = block.iloc[0]
-    head = int.from_bytes(row["k1"][:4], "little")
-    doc_ids, valid = unpack(row["k1"][4 : 4 + head], np.int64), unpack(row["k1"][4 + head :], np.uint8).astype(bool)
-    sizes, ids, vocab = unpack(row["n1"], np.int64), unpack(row["k2"], np.uint32), unpack(row["n2"], np.uint64)
+    head = int.from_bytes(row["docs"][:4], "little")
+    doc_ids, valid = unpack(row["docs"][4 : 4 + head], np.int64), unpack(row["docs"][4 + head :], np.uint8).astype(bool)
+    sizes, ids, vocab = _opened(row["sizes"], row["ids"], row["vocab"])
     answers = answers.sort_values("range")
-    totals1 = np.concatenate([unpack(x, np.uint64) for x in answers[one]]).astype(np.float64)
-    totals2 = np.concatenate([unpack(x, np.uint64) for x in answers[two]]).astype(np.float64)
+    totals1 = np.concatenate([unpack(x, np.uint32) for x in answers[one]]).astype(np.float64)
+    totals2 = np.concatenate([unpack(x, np.uint32) for x in answers[two]]).astype(np.float64)
     at = int(np.searchsorted(vocab, START))
     of_start, of_word = totals1[at], np.delete(totals1, at)
     _, keys = ngrams(ids, vocab, sizes)
@@ -261,9 +279,9 @@ def score(docs: DataFrame) -> DataFrame:
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rest.alias("rest"), "text")
-    packed = cut(rows.mapInArrow(_pack_blocks(ranges), "range int, block long, part int, k1 binary, n1 binary, k2 binary, n2 binary"))
-    blocks = packed.where("range is null")
-    answers = cut(packed.where("range is not null").groupBy("range").applyInPandas(_answer, ANSWER))
+    blocks = cut(rows.mapInArrow(_pack_blocks(), "block long, part int, docs binary, sizes binary, ids binary, vocab binary"))
+    asked = blocks.mapInArrow(_asks(ranges), "range int, block long, part int, k1 binary, n1 binary, k2 binary, n2 binary")
+    answers = cut(asked.groupBy("range").applyInPandas(_answer, ANSWER))
     # one row per range; no more than the number of shuffle partitions
     stats = sum((np.frombuffer(r["a1"], np.int64) for r in answers.where("block = -1").select("a1").collect()), np.zeros(4, np.int64))
     n, v_size, n_kept, v_kept = map(int, stats)
