@@ -49,6 +49,13 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def computed(df: DataFrame) -> DataFrame:
+    """df with a column `_computed` that is never negative. A filter that names it stays above the columns of
+    df; otherwise Spark pushes the filter below them and evaluates their expressions once more, in lambdas
+    even once per element."""
+    return df.withColumn("_computed", F.monotonically_increasing_id())
+
+
 def join_small(big: DataFrame, small: DataFrame, on: Column, how: str = "left") -> DataFrame:
     """Join a side that is expected to be small. Its rows are counted first: up to BROADCAST_ROWS it is
     broadcast, beyond that Spark picks a shuffled join and adaptive execution splits hot keys."""

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, join_small, words
+from quillon.llm.common import computed, cut, join_small, words
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2.0, "mix-1"
@@ -143,6 +143,6 @@ def sample(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mixed documents: each row as often as it is taken, with the columns of docs."""
     own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     named = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in own.items()]).withColumns({c: F.col(own[c]) for c in ("doc_id", "text", "source")})
-    df = copies(draw(named, seed), plan(docs, seed))
-    repeated = df.where("_copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
+    df = copies(computed(draw(named, seed)), plan(docs, seed))
+    repeated = df.where("_copies > 0 and _computed >= 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
     return repeated.select(*[F.col(x).alias(c) for c, x in own.items()])
