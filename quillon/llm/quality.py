@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, join_small, let, words
+from quillon.llm.common import computed, cut, join_small, let, words
 
 WINDOW = 8
 #: Rule -> (metric over the measured columns, grid of cutoffs from strict to lenient).
@@ -42,7 +42,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     full = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_lines", full)
     many = F.size("_words") >= WINDOW
-    windows = F.transform(F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))
+    windows = F.transform(F.sequence(F.lit(0), F.size("_words") - WINDOW), lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(WINDOW)]))
     df = df.withColumn("_windows", F.when(many, windows))
     return df.select(
         *docs.columns,
@@ -131,5 +131,5 @@ def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float
     named = held.withColumns({"doc_id": F.col(own["doc_id"]), "text": F.col(own["text"]), stratum: F.col(own[stratum])})
     slim = cut(measure(named.select("doc_id", "text", stratum)).drop("text"))
     cutoffs = thresholds(slim, labels, stratum, alpha, delta)
-    kept = judge(measure(named), cut(cutoffs), stratum).where("kept")
+    kept = judge(computed(measure(named)), cut(cutoffs), stratum).where("kept and _computed >= 0")
     return kept.select(*[F.col(x).alias(c) for c, x in own.items()])
