@@ -8,6 +8,7 @@ files without rows and reads back as an empty table; further columns are ignored
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -22,8 +23,12 @@ from pyspark.sql import types as T
 from quillon.llm.common import join_small
 
 END = 1
-#: Words whose ids a worker keeps, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+#: Words whose ids a worker keeps in each of two generations, and the longest such word.
+CACHE_WORDS, CACHE_CHARS = 700_000, 64
+#: ASCII punctuation that may be cut from the end of a word: all but the apostrophe, which starts contractions.
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Texts that are encoded together.
+GROUP = 256
 #: Ids in one output batch.
 BATCH_IDS = 2_000_000
 SCHEMA = T.StructType(
@@ -33,43 +38,81 @@ OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.blo
 
 
 class Encoder:
-    """Encodes a text word by word with a cache. The pre-tokenizer never joins characters across spaces and
-    line ends, so the ids of a text are those of its words in order."""
+    """Encodes a text word by word with a cache. The tokenizer lower-cases, drops white space and never joins
+    characters across it, so the ids of a text are those of its lower-cased words in order. A word that ends in
+    a letter and ASCII punctuation gives the ids of its two parts. Texts with a special token's opening are
+    encoded whole."""
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
+        # The separator must be a special token, which cuts the text before anything else looks at it.
+        self.mark = next((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special)
+        self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, encoded together with a special token between them."""
+        mark, number = self.mark
+        ids = self._plain(mark.join(w.decode("utf-8", "surrogatepass") for w in words))
+        ends = np.append(np.flatnonzero(ids == number), len(ids)).tolist()
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * e] for a, e in zip([0, *[e + 1 for e in ends[:-1]]], ends)]
+
+    def _learn(self, new: set[bytes]) -> None:
         cache = self.cache
-        new = list({w for w in words if w not in cache})
-        if new:
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                cache[""] = b""
-                new = list(set(words) - {""})
-            for i in range(0, len(new), 10_000):
-                cache.update(zip(new[i : i + 10_000], self._raw(new[i : i + 10_000])))
-        out = b"".join(map(cache.__getitem__, words))
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        for w in new:
+            core = w.rstrip(PUNCTUATION)
+            if core and len(core) < len(w) and (core[-1:].isalpha() or (core[-1] > 127 and core.decode("utf-8", "surrogatepass")[-1].lower()[-1].isalpha())):
+                parts[w] = core, w[len(core) :]
+        todo = [w for w in new if w not in parts] + list({x for pair in parts.values() for x in pair} - new)
+        cache.update((w, self.old[w]) for w in todo if w not in cache and w in self.old)
+        todo = [w for w in todo if w not in cache]
+        for i in range(0, len(todo), 4096):
+            cache.update(zip(todo[i : i + 4096], self._encode(todo[i : i + 4096])))
+        for w, (core, rest) in parts.items():
+            cache[w] = cache[core] + cache[rest]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [None if "<|" in t else t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        cache, old = self.cache, self.old
+        new: set[bytes] = set()
+        for words in split:
+            new.update(words or ())
+        if len(cache) + len(new) > CACHE_WORDS:  # the words used since the last turn stay at hand
+            self.old, self.cache = cache, {}
+            cache, old = self.cache, self.old
+        new = {w for w in new if w not in cache}
+        held = {w for w in new if w in old}
+        cache.update((w, old[w]) for w in held)
+        new -= held
+        self._learn(new)
+        get = cache.__getitem__
+        out = [self._plain(t).tobytes() if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
         for w in new:
             if len(w) > CACHE_CHARS:
                 del cache[w]
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(model: str) -> Encoder:
+    """One per worker process, so that later tasks find the words of earlier ones."""
+    return Encoder(model)
+
+
 def _write_batches(model: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode, tail, start = Encoder(model), np.array([end], dtype="<u4").tobytes(), 0
+        encode, tail = encoder(model), np.array([end], dtype="<u4").tobytes()
         schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
         def flush(doc_ids: list, chunks: list[bytes], first: int) -> pa.RecordBatch:
@@ -80,11 +123,12 @@ def _write_batches(model: str, end: int):
 
         doc_ids, chunks, held, first = [], [], 0, 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                chunk = encode(text.as_py() or "") + tail
-                doc_ids.append(doc_id)
-                chunks.append(chunk)
-                held += len(chunk) // 4
+            for at in range(0, batch.num_rows, GROUP):
+                some = batch.slice(at, GROUP)
+                got = encode([x or "" for x in some.column("text").to_pylist()])
+                doc_ids += some.column("doc_id").to_pylist()
+                chunks += [c + tail for c in got]
+                held += sum(len(c) // 4 + 1 for c in got)
                 if held >= BATCH_IDS:
                     yield flush(doc_ids, chunks, first)
                     first, held, doc_ids, chunks = first + held, 0, [], []
