@@ -78,7 +78,11 @@ def plan(pages: DataFrame, least: int = 0) -> DataFrame:
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
     """Write the archives. The dictionary is built on the driver from SAMPLE_RECORDS pages at most, those of
     the lowest hash, each cut to SAMPLE_CHARS."""
-    picked = pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_CHARS).alias("p")).orderBy(F.xxhash64("page_id", "url"), "page_id", "p").limit(SAMPLE_RECORDS).collect()
+    # the lowest hashes first, so that no task sends more than a few pages
+    rows = pages.select("page_id", "url", F.xxhash64("page_id", "url").alias("h"), F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_CHARS).alias("p"))
+    lowest = pages.select(F.xxhash64("page_id", "url").alias("h")).orderBy("h").limit(SAMPLE_RECORDS).agg(F.max("h")).first()[0]
+    picked = [] if lowest is None else rows.where(F.col("h") <= lowest).limit(SAMPLE_RECORDS).collect()
+    picked.sort(key=lambda r: (r["h"], r["p"]))
     raw = dictionary([record("response", r["page_id"], r["url"], r["p"].encode(), base32(hashlib.sha1(r["p"].encode()).hexdigest())) for r in picked])
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
