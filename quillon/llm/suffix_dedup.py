@@ -37,7 +37,7 @@ SIZE, GRAM = 200, 64
 #: Occurrences from which an anchor's strings are counted one by one.
 HOT = 500
 #: Bytes of text in a block; a text is never split.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 #: Positions that share one set of tie-breaking numbers in the choice of anchors.
 TILE = 1 << 22
 ONCE, AGAIN, MANY = 0, 1, 2
@@ -93,7 +93,7 @@ def segments(b: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndar
         p = (key & low).astype(np.int64)
         first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
         starts.append(first + at)
-        anchors.append(h[p[first]])
+        anchors.append(scramble(h[p[first]] ^ _BYTE[0]))  # the least hashes are small; spread them over the ranges
     return np.concatenate(starts), np.concatenate(anchors)
 
 
@@ -367,7 +367,7 @@ def _remove(ranges: int, size: int):
 
 def remove(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes)."""
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = cut(rows.mapInArrow(_pack(size, gram), PACKED))
     asked = blocks.select("block", "anchors", "which").mapInArrow(_ask_anchors(ranges), "range int, block long, keys binary, counts binary")

@@ -53,6 +53,11 @@ class Spool:
         return [np.memmap(f.name, k, "r", shape=(self.written,)) for f, k in zip(self.files, self.kinds)]
 
 
+def _place(keys: np.ndarray, below: int) -> int:
+    """First place of a sorted array of keys that is not under `below` (of the same type, lest it be copied)."""
+    return int(keys.searchsorted(np.uint32(min(below, 0xFFFFFFFF))))
+
+
 class Queue:
     """Priority queue of (key, item, value) in bulk; equal keys leave in the order they came."""
 
@@ -91,7 +96,7 @@ class Queue:
 
     def peek(self, below: int) -> list[np.ndarray]:
         """All tuples with a key under `below`, in order."""
-        ends = [int(np.searchsorted(r[0][0], below)) for r in self.runs]
+        ends = [_place(r[0][0], below) for r in self.runs]
         parts = [[np.asarray(r[0][k][r[1] : e]) for r, e in zip(self.runs, ends) if e > r[1]] for k in range(3)]
         if not parts[0]:
             return [np.empty(0, k) for k in self.KINDS]
@@ -103,14 +108,19 @@ class Queue:
 
     def drop(self, below: int) -> None:
         for r in self.runs:
-            r[1] = max(r[1], int(np.searchsorted(r[0][0], below)))
-
-
-def words_at(text: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on as one integer, first byte lowest; zeros follow the text."""
-    out = np.zeros(len(text), np.uint64)
-    for k in range(min(8, len(text))):
-        out[: len(text) - k] |= text[k:].astype(np.uint64) << np.uint64(8 * k)
+            r[1] = max(r[1], _place(r[0][0], below))
+
+
+def words_at(text: np.ndarray, folder: str = "", limit: int = MEMORY_ITEMS) -> np.ndarray:
+    """The eight bytes from each position on as one integer, first byte lowest; zeros follow the text. On
+    disk beyond `limit`."""
+    n, step = len(text), 1 << 20
+    out = np.zeros(n, np.uint64) if n <= limit or not folder else np.memmap(os.path.join(folder, uuid.uuid4().hex), np.uint64, "w+", shape=(n,))
+    for at in range(0, n, step):
+        part = np.pad(text[at : at + step + 7], (0, 7)).astype(np.uint64)
+        m = min(step, n - at)
+        for k in range(8):
+            out[at : at + m] |= part[k : k + m] << np.uint64(8 * k)
     return out
 
 
@@ -221,7 +231,7 @@ def sweep(text, is_s, want_s: bool, seeds: np.ndarray, seed_lcp, words, cap: int
             return out
         high = min(low + width, 1 << 32)
         keys, items, values = queue.peek(high)
-        end = at + int(np.searchsorted(seed_keys[at:], high))
+        end = at + _place(seed_keys[at:], high)
         all_keys = np.concatenate([keys, seed_keys[at:end]])
         order = np.argsort(all_keys, kind="stable")
         pos = np.concatenate([items, seeds[at:end].astype(np.uint32)]).astype(np.int64)[order]
@@ -230,7 +240,7 @@ def sweep(text, is_s, want_s: bool, seeds: np.ndarray, seed_lcp, words, cap: int
         inner = int(made.min()) if len(made) else high
         if inner < high and inner > low:
             high, width = inner, max(1, (inner - low))
-            n_q, n_s = int(np.searchsorted(keys, high)), int(np.searchsorted(seed_keys[at:end], high))
+            n_q, n_s = _place(keys, high), _place(seed_keys[at:end], high)
             keys, items, values, end = keys[:n_q], items[:n_q], values[:n_q], at + n_s
         elif inner < high:
             # the least bucket induces into itself: rounds over its queued tuples, then its seeds
@@ -244,7 +254,7 @@ def sweep(text, is_s, want_s: bool, seeds: np.ndarray, seed_lcp, words, cap: int
                 lcp = met(keys, pos, values, np.ones(len(pos), bool))
                 out.append(items, values)
                 queue.push(*[c.astype(k) for c, k in zip(induce(pos, lcp), Queue.KINDS)])
-            end = at + int(np.searchsorted(seed_keys[at:], high))
+            end = at + _place(seed_keys[at:], high)
         else:
             width = min(width * 2, 1 << 30)
         queue.drop(high)
@@ -340,7 +350,7 @@ def repeated(text: np.ndarray, size: int, folder: str, limit: int = MEMORY_ITEMS
     out = np.zeros(len(text), bool)
     if len(text) <= size:
         return out
-    words = words_at(text)
+    words = words_at(text, folder, limit)
     ls, ss = _parts(text, words, size, folder, limit)
     for pos, lcp in (ls, ss):
         hit = np.flatnonzero(np.asarray(lcp) >= size)
