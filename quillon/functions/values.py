@@ -65,7 +65,10 @@ def typed_number(column: Column, kind: T.DataType) -> Column:
 
 
 def path(name: str) -> str:
-    return "$[\"" + name.replace("\\", "\\\\").replace('"', '\\"') + "\"]"
+    """Path of a top-level key. Spark's paths cannot escape the quote they are written in."""
+    if "'" in name and '"' in name:
+        raise ValueError(f"a field name with both kinds of quotes cannot be addressed: {name}")
+    return f"$['{name}']" if '"' in name else f'$["{name}"]'
 
 
 def present(doc: Column, name: str) -> Column:
