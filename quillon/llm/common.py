@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,26 @@ def ascii_lower(text: Column) -> Column:
     return F.when(other, F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
 
 
+class WordHashes(dict):
+    """64-bit hashes of words (bytes), made as they are asked for and kept up to `limit` words."""
+
+    def __init__(self, limit: int = 500_000):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Hashes of a text's words. bytes.lower() and bytes.split() touch ASCII alone: A-Z, and 0x20 with
+        0x09-0x0D."""
+        if len(self) > self.limit:
+            self.clear()
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: inside a lambda Spark evaluates a whole expression for each
     element, and only bound variables and attributes are free."""

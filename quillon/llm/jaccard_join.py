@@ -12,8 +12,10 @@ are compared across components only, so no link between components is lost.
 1. One pass over the texts: set size, class and a fixed-size count sketch.
 2. One pass: prefix tokens by the first order, as compressed blocks by token range; per range the leader of
    each token and its pairs, and the members of longer lists.
-3. The sets of paired classes are rebuilt from their texts; pairs are verified; links become components.
-4. Lists that still span components give cross-component pairs, verified the same way.
+3. Signatures bound what a pair can share. Of the classes still paired the sets are rebuilt from their texts;
+   pairs are verified; links become components.
+4. Lists that still span components are compared across components, block by block, and what remains is
+   verified the same way.
 
 Defined results: a null or empty text, or one without words, has no shingles and links with nothing (its
 component is its own doc_id); a null doc_id takes part but never names a component unless all ids in it are
@@ -30,19 +32,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut
+from quillon.llm.common import WordHashes, cut
 
 WORDS, PERCENT = 5, 80
 #: Seeds of the further orders.
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Counters of the sketch (a power of two) and the blocks it is merged in.
 COUNTERS, BLOCKS = 1 << 20, 128
-CACHE_WORDS = 500_000
 LINKS = "a long, b long"
+#: Classes of a block of a list.
+LIST_BLOCK = 256
+#: Keys of texts that may be broadcast, eight bytes each.
+KEY_ROWS = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,35 +60,56 @@ class Shingler:
     """Sorted distinct 64-bit hashes of the word shingles of a text."""
 
     def __init__(self, n: int = WORDS):
-        self.n, self.cache = n, {}
+        self.n, self.words = n, WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        # bytes.lower() and bytes.split() touch ASCII alone: A-Z, and 0x20 with 0x09-0x0D
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        cache = self.cache
-        new = {w for w in words if w not in cache}
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = set(words)
-        cache.update((w, xxhash.xxh64_intdigest(w)) for w in new)
-        h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        h = self.words.of(text)
+        if not len(h):
+            return h
         k = min(self.n, len(h))
         out = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
-            out = mix(out * np.uint64(0x100000001B3) ^ h[i : len(h) - k + 1 + i])
-        return np.unique(out)
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
+        out = np.sort(mix(out))
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def class_id(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """A bit per bucket of the tokens' first bits that holds a token; four to eight buckets to a token."""
+    bits = min(20, max(6, (4 * len(tokens)).bit_length()))
+    on = np.zeros(1 << bits, np.uint8)
+    on[(tokens >> np.uint64(64 - bits)).astype(np.int64)] = 1
+    return np.packbits(on).tobytes()
+
+
+def may_link(a: bytes, b: bytes, n: int, m: int, percent: int = PERCENT) -> bool:
+    """False where the signatures prove that too few tokens are common: a bucket that only one side fills
+    holds at least one token that the other lacks."""
+    if len(a) > len(b):
+        a, b, n, m = b, a, m, n
+    x = np.frombuffer(a, np.uint64)
+    if len(a) == len(b):
+        y = np.frombuffer(b, np.uint64)
+    else:  # fold the finer one
+        y = np.packbits(np.unpackbits(np.frombuffer(b, np.uint8)).reshape(8 * len(a), -1).any(1)).view(np.uint64)
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return 100 * most >= percent * (n + m - most)
+
+
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def index_size(n: int, percent: int = PERCENT) -> int:
+    """Of two linked sets the smaller one has the first common token among so many: at least
+    2 t n / (1 + t) of its tokens are common, none of them before it. (Of equal sizes, both have.)"""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT, seeds: tuple[int, ...] = SEEDS) -> bool:
     """Size filter, shared prefix tokens under each further order, then the exact coefficient."""
     n, m = len(a), len(b)
@@ -105,21 +130,22 @@ def _sizes_and_sketch(n: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, sketch, seen = Shingler(n), np.zeros(COUNTERS, np.uint32), False
-        names = ["fk", "doc_id", "cid", "n", "block", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["fk", "doc_id", "cid", "n", "sig", "block", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         for b in batches:
-            cids, sizes = [], []
+            cids, sizes, sigs = [], [], []
             for text in b.column("text"):
                 tokens = shingle(text.as_py())
                 np.add.at(sketch, (tokens & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
                 cids.append(class_id(tokens))
                 sizes.append(len(tokens))
+                sigs.append(signature(tokens))
             seen = seen or any(sizes)
-            none = [pa.nulls(len(cids), k) for k in kinds[4:]]
-            yield pa.RecordBatch.from_arrays([b.column("fk"), b.column("doc_id").cast(pa.int64()), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), *none], names=names)
+            none = [pa.nulls(len(cids), k) for k in kinds[5:]]
+            yield pa.RecordBatch.from_arrays([b.column("fk"), b.column("doc_id").cast(pa.int64()), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), *none], names=names)
         if seen:
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, BLOCKS)]
-            none = [pa.nulls(BLOCKS, k) for k in kinds[:4]]
+            none = [pa.nulls(BLOCKS, k) for k in kinds[:5]]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run
@@ -161,8 +187,13 @@ def _postings(n: int, percent: int, level, ranges: int):
                 known.add(cid)
                 w = weights[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 p = prefix_size(len(tokens), percent)
-                own = tokens[np.lexsort((tokens, w))[:p]]
-                held.append((own, np.full(p, cid, np.int64), np.full(p, len(tokens), np.uint32), np.full(p, int(w.mean()), np.uint8)))
+                rank = (w.astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8))
+                last = rank <= np.partition(rank, p - 1)[p - 1]  # with ties, all of them
+                own = tokens[last]
+                k = index_size(len(tokens), percent)
+                early = (rank <= np.partition(rank, k - 1)[k - 1])[last]
+                p = len(own)
+                held.append((own, np.full(p, cid, np.int64), early.astype(np.uint32) << np.uint32(31) | np.uint32(len(tokens)), np.full(p, int(w.mean()), np.uint8)))
                 count += p
                 if count > 3_000_000:
                     yield from flush()
@@ -173,9 +204,14 @@ def _postings(n: int, percent: int, level, ranges: int):
     return run
 
 
+def _met(n, early_n, m, early_m):
+    """Whether a common token may be the first one of a link: early in the smaller set (see index_size)."""
+    return ((n > m) | early_n) & ((m > n) | early_m)
+
+
 def _pairs(percent: int):
-    """Of one range: rows (kind 0, leader, member) for every list, (kind 1, token, class, size) for lists of
-    three classes or more."""
+    """Of one range: rows (kind 0, leader, member) for every list, (kind 1, token, class, early) for lists of
+    three classes or more in which some class has the token early."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cols: list[list[np.ndarray]] = [[], [], [], []]
@@ -190,19 +226,22 @@ def _pairs(percent: int):
         order = np.lexsort((cid, -central.astype(np.int16), token))  # the most central class leads a list
         token, cid, size = token[order], cid[order], size[order]
         new = np.concatenate([[True], (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])])
-        token, cid, size = token[new], cid[new], size[new]
+        token, cid, early, size = token[new], cid[new], (size[new] >> np.uint32(31)).astype(bool), (size[new] & np.uint32(0x7FFFFFFF)).astype(np.int64)
         first = np.concatenate([[True], token[1:] != token[:-1]])
+        group = np.cumsum(first) - 1
         lead = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
-        count = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1]
-        near = 100 * np.minimum(size, size[lead]).astype(np.int64) >= percent * np.maximum(size, size[lead]).astype(np.int64)
-        star, rest = ~first & near, count >= 3
+        count = np.bincount(group)[group]
+        some = np.bincount(group, weights=early)[group] > 0
+        star = ~first & (100 * np.minimum(size, size[lead]) >= percent * np.maximum(size, size[lead]))
+        star &= (count > 2) | _met(size, early, size[lead], early[lead])
+        rest = (count >= 3) & some
         pairs = np.unique(np.stack([cid[lead][star], cid[star]], 1), axis=0)
         return pd.DataFrame(
             {
                 "kind": np.concatenate([np.zeros(len(pairs), np.int32), np.ones(rest.sum(), np.int32)]),
                 "a": np.concatenate([pairs[:, 0], token[rest].view(np.int64)]),
                 "b": np.concatenate([pairs[:, 1], cid[rest]]),
-                "n": np.concatenate([np.zeros(len(pairs), np.int64), size[rest].astype(np.int64)]),
+                "early": np.concatenate([np.zeros(len(pairs), bool), early[rest]]),
             }
         )
 
@@ -219,6 +258,15 @@ def _sets(n: int):
     return run
 
 
+def _bounded(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = pa.array([may_link(*x, percent) for x in zip(*[b.column(c).to_pylist() for c in ("sa", "sb", "na", "nb")])], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,13 +278,50 @@ def _verify(percent: int):
 
 
 def verified(texts: DataFrame, slim: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs that link. One text of each paired class is fetched by its key and its set rebuilt."""
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    keys = slim.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("fk").alias("k")).select("k").distinct()
-    sets = cut(texts.join(keys, F.col("fk") == F.col("k"), "left_semi").select("text").mapInArrow(_sets(n), "cid long, tokens binary").dropDuplicates(["cid"]))
+    """The pairs that link. Signatures drop the pairs that cannot; of each class of the others one text is
+    fetched by its key and its set rebuilt. Up to KEY_ROWS keys are broadcast, beyond that texts are shuffled."""
+    about = slim.join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "cid", "left_semi")
+    about = cut(about.groupBy("cid").agg(F.min(F.struct("fk", "n", "sig")).alias("x")).select("cid", "x.*"))
+    sides = [about.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab"]
+    pairs = cut(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_bounded(percent), LINKS))
+    keys = cut(about.join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "cid", "left_semi").select(F.col("fk").alias("k")).distinct())
+    few = keys.limit(KEY_ROWS + 1).count() <= KEY_ROWS
+    some = texts.join(F.broadcast(keys) if few else keys, F.col("fk") == F.col("k"), "left_semi").select("text")
+    sets = cut(some.mapInArrow(_sets(n), "cid long, tokens binary"))
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b")
-    return cut(both.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), LINKS))
+    return cut(both.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), LINKS).distinct())
+
+
+def _across(rows: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one list, of different components, that sizes and signatures allow. rows: token, cid, early,
+    comp, size of the list. A list of more than LIST_BLOCK classes is cut into blocks of about that size; a list, or
+    two blocks of one, are compared inside a task, which returns the pairs that remain."""
+    about = slim.join(rows.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("n", "sig")).alias("x")).select("cid", "x.n", "x.sig")
+    item = F.struct("cid", "comp", "n", "sig", "early")
+    full = rows.join(about, "cid")
+    whole = full.where(F.col("size") <= LIST_BLOCK).groupBy("token").agg(F.collect_list(item).alias("items")).select("items", F.col("items").alias("others"))
+    part = F.pmod(F.xxhash64("cid", F.lit(2)), F.ceil(F.col("size") / LIST_BLOCK)).alias("part")
+    blocks = cut(full.where(F.col("size") > LIST_BLOCK).groupBy("token", part).agg(F.collect_list(item).alias("items")))
+    other = blocks.select(F.col("token").alias("t"), F.col("part").alias("p"), F.col("items").alias("others"))
+    both = whole.union(blocks.join(other, (F.col("token") == F.col("t")) & (F.col("part") <= F.col("p"))).select("items", "others"))
+
+    def columns(items: pa.ListScalar) -> tuple:
+        x = items.values.flatten()
+        return x[0].to_numpy(), x[1].to_numpy(), x[2].to_numpy(), x[3].to_pylist(), x[4].to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x, y in zip(b.column("items"), b.column("others")):
+                (ca, ka, na, sa, ea), (cb, kb, nb, sb, eb) = columns(x), columns(y)
+                fit = (ka[:, None] != kb[None]) & (100 * np.minimum(na[:, None], nb[None]) >= percent * np.maximum(na[:, None], nb[None]))
+                fit &= _met(na[:, None], ea[:, None], nb[None], eb[None])
+                out += [(min(ca[i], cb[j]), max(ca[i], cb[j])) for i, j in np.argwhere(fit).tolist() if may_link(sa[i], sb[j], int(na[i]), int(nb[j]), percent)]
+            pairs = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return both.mapInArrow(run, LINKS)
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -259,26 +344,21 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tuple[Da
     """(slim: fk, doc_id, cid, n of every row; comps: cid, comp of every linked class)."""
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("fk"))
-    first = cut(texts.mapInArrow(_sizes_and_sketch(n, percent), "fk long, doc_id long, cid long, n long, block int, counts binary"))
-    slim = first.where("block is null").select("fk", "doc_id", "cid", "n")
+    first = cut(texts.mapInArrow(_sizes_and_sketch(n, percent), "fk long, doc_id long, cid long, n long, sig binary, block int, counts binary"))
+    slim = first.where("block is null").select("fk", "doc_id", "cid", "n", "sig")
     merged = {r["block"]: bytes(r["level"]) for r in first.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(_sum_blocks, "block int, level binary").collect()}  # BLOCKS rows, COUNTERS bytes in all
     level = spark.sparkContext.broadcast(b"".join(merged.get(i, bytes(COUNTERS // BLOCKS)) for i in range(BLOCKS)))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(texts.select("text").mapInArrow(_postings(n, percent, level, ranges), "range int, block binary").groupBy("range").applyInPandas(_pairs(percent), "kind int, a long, b long, n long"))
+    found = cut(texts.select("text").mapInArrow(_postings(n, percent, level, ranges), "range int, block binary").groupBy("range").applyInPandas(_pairs(percent), "kind int, a long, b long, early boolean"))
     pairs = cut(found.where("kind = 0").select("a", "b").distinct())
     links = verified(texts, slim, pairs, n, percent)
     comps = connected(links)
     # lists of three or more that span components: of lists with the same members one is enough
-    lists = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), "n")
-    members = cut(lists.join(comps, "cid", "left").select("token", "cid", "n", F.coalesce("comp", "cid").alias("comp")))
-    sums = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(cid))").alias("x"), F.expr("bit_xor(xxhash64(cid, 1))").alias("y"))
-    some = cut(sums.where("lo <> hi").groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token"))
-    rows = cut(members.join(some, "token", "left_semi"))
-    other = rows.select("token", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-    size = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    cross = rows.withColumnRenamed("cid", "a").join(other, (rows.token == other.token) & (F.col("comp") < F.col("comp_b")) & size).select("a", "b")
-    done = pairs.union(pairs.select("b", "a"))
-    cross = cut(cross.distinct().join(done, ["a", "b"], "left_anti"))
+    lists = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), "early")
+    members = cut(lists.join(comps, "cid", "left").select("token", "cid", "early", F.coalesce("comp", "cid").alias("comp")))
+    sums = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(cid, early))").alias("x"), F.expr("bit_xor(xxhash64(cid, early, 1))").alias("y"))
+    some = cut(sums.where("lo <> hi").groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token", "size"))
+    cross = cut(_across(members.join(some, "token"), slim, percent).distinct().join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti"))
     if cross.limit(1).count():
         comps = connected(links.union(verified(texts, slim, cross, n, percent)))
     return slim, comps

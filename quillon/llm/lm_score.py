@@ -23,17 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut
+from quillon.llm.common import WordHashes, cut
 
 #: Documents with this remainder (modulo FOLDS) are held out; those with DELETED train the weights.
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
 PRIOR = 0.1
-#: Tokens of a block, and words whose hashes a worker keeps.
-BLOCK_TOKENS, CACHE_WORDS = 2_500_000, 500_000
+#: Tokens of a block.
+BLOCK_TOKENS = 2_500_000
 #: Context buckets, and steps per power of ten of the histogram that EM runs on.
 BUCKETS, STEPS, ROUNDS = 16, 20, 60
 END, START = np.uint64(0x5EED0E4D), np.uint64(0x5EED057A)  # no word hashes to these but by chance
@@ -80,7 +79,7 @@ def _pack_blocks():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, made, cache = TaskContext.get().partitionId(), 0, {}
+        task, made, hashes_of = TaskContext.get().partitionId(), 0, WordHashes()
         held: list[tuple[list, list, list[np.ndarray]]] = [([], [], []) for _ in range(3)]
         tokens = [0, 0, 0]
 
@@ -97,15 +96,9 @@ def _pack_blocks():
 
         for b in batches:
             for doc_id, rest, text in zip(b.column("doc_id").to_pylist(), b.column("rest").to_pylist(), b.column("text")):
-                # bytes.lower() and bytes.split() touch ASCII alone: A-Z, and 0x20 with 0x09-0x0D
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                new = {w for w in words if w not in cache}
-                if len(cache) + len(new) > CACHE_WORDS:
-                    cache.clear()
-                    new = set(words)
-                cache.update((w, xxhash.xxh64_intdigest(w)) for w in new)
+                words = hashes_of.of(text.as_py())
                 h = np.empty(len(words) + 1, np.uint64)
-                h[:-1] = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+                h[:-1] = words
                 h[-1] = END
                 part = OUT if rest == HELD_OUT else DEL if rest == DELETED else TRAIN
                 for to, x in zip(held[part], (doc_id, len(h), h)):
