@@ -294,8 +294,10 @@ def test_jaccard_join(docs, empty, rows):
     assert kept.count() == sum(k == c for k, _, c in comps)
 
 
-def test_jaccard_join_of_a_large_loose_group(spark):
+@pytest.mark.parametrize("block", [16, 256])
+def test_jaccard_join_of_a_large_loose_group(spark, monkeypatch, block):
     """Variants of one text around the threshold: chains of links, and many pairs just under it."""
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", block)
     g = random.Random(9)
     base = [f"w{i}" for i in range(150)]
     made = []
