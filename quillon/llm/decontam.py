@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import NON_WORD, BROADCAST_ROWS, ascii_lower
+from quillon.llm.common import BROADCAST_ROWS, NON_WORD, ascii_lower, cut, join_small
 
 SIZE = 10
 
@@ -99,8 +99,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    found = hits(docs, benchmark, size).select(F.col("doc_id").alias("_h_id"), F.col("t_hash").alias("_h_hash"), F.col("spans").alias("_spans"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_h_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_h_hash")), "left")
+    found = cut(hits(docs, benchmark, size).select(F.col("doc_id").alias("_h_id"), F.col("t_hash").alias("_h_hash"), F.col("spans").alias("_spans")))
+    return join_small(docs, found, F.col("doc_id").eqNullSafe(F.col("_h_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_h_hash")))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
