@@ -77,6 +77,18 @@ def ascii_lower(text: Column) -> Column:
     return F.when(other, F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
 
 
+_HELD: dict = {}
+
+
+def in_worker(key, make: Callable):
+    """What make() gives, kept in a worker process for later tasks. A worker keeps one such thing: asking for
+    another drops it, so that the caches of different operators never add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), made as they are asked for and kept up to `limit` words."""
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WordHashes, cut
+from quillon.llm.common import WordHashes, cut, in_worker
 
 WORDS, PERCENT = 5, 80
 #: Seeds of the further orders.
@@ -60,7 +60,7 @@ class Shingler:
     """Sorted distinct 64-bit hashes of the word shingles of a text."""
 
     def __init__(self, n: int = WORDS):
-        self.n, self.words = n, WordHashes()
+        self.n, self.words = n, in_worker("words", WordHashes)
 
     def __call__(self, text: str | None) -> np.ndarray:
         h = self.words.of(text)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WordHashes, cut
+from quillon.llm.common import WordHashes, cut, in_worker
 
 #: Documents with this remainder (modulo FOLDS) are held out; those with DELETED train the weights.
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
@@ -79,7 +79,7 @@ def _pack_blocks():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, made, hashes_of = TaskContext.get().partitionId(), 0, WordHashes()
+        task, made, hashes_of = TaskContext.get().partitionId(), 0, in_worker("words", WordHashes)
         held: list[tuple[list, list, list[np.ndarray]]] = [([], [], []) for _ in range(3)]
         tokens = [0, 0, 0]
 
