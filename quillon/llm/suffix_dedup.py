@@ -38,6 +38,8 @@ SIZE, GRAM = 200, 64
 HOT = 500
 #: Bytes of text in a block; a text is never split.
 BLOCK_BYTES = 3 << 20
+#: Zstandard level of texts, which are written more than once.
+TEXT_LEVEL = 5
 #: Positions that share one set of tie-breaking numbers in the choice of anchors.
 TILE = 1 << 22
 ONCE, AGAIN, MANY = 0, 1, 2
@@ -133,8 +135,8 @@ class Block:
         return again, contents, np.array(anchors, np.int64), np.array(index, np.int64), at, distinct, where
 
 
-def squeeze(x) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
+def squeeze(x, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -174,7 +176,7 @@ def _pack(size: int, gram: int):
             starts = np.concatenate([s + e - len(p) for (s, _), e, p in zip(found, ends, parts)])
             anchors, which = np.unique(np.concatenate([a for _, a in found]), return_inverse=True)
             known = np.array([x is not None for x in ids], np.uint8)
-            row = [task << 20 | made, known.tobytes() + np.array([x or 0 for x in ids], np.int64).tobytes(), squeeze(np.concatenate(parts)), planes(delta(ends)), planes(delta(starts)), planes(delta(anchors)), planes(which.astype(np.uint32))]
+            row = [task << 20 | made, known.tobytes() + np.array([x or 0 for x in ids], np.int64).tobytes(), squeeze(np.concatenate(parts), TEXT_LEVEL), planes(delta(ends)), planes(delta(starts)), planes(delta(anchors)), planes(which.astype(np.uint32))]
             made += 1
             return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], names=["block", "ids", "text", "ends", "starts", "anchors", "which"])
 
@@ -262,7 +264,7 @@ def _ask_texts(ranges: int, size: int):
                 i, j = o2[c2[r] : c2[r + 1]], o3[c3[r] : c3[r + 1]]
                 if len(i) or len(j):
                     texts = [contents[k] for k in i.tolist()]
-                    new = [r, row["block"], planes(anchors[i]), planes(np.array([len(t) for t in texts], np.uint32)), squeeze(b"".join(texts)), planes(counts[i]), planes(prints[j].view(np.uint64).reshape(-1, 2).ravel()) if len(j) else b"", planes(times[j])]
+                    new = [r, row["block"], planes(anchors[i]), planes(np.array([len(t) for t in texts], np.uint32)), squeeze(b"".join(texts), TEXT_LEVEL), planes(counts[i]), planes(prints[j].view(np.uint64).reshape(-1, 2).ravel()) if len(j) else b"", planes(times[j])]
                     for k, x in zip(out, new):
                         out[k].append(x)
         return pd.DataFrame(out)
@@ -367,7 +369,7 @@ def _remove(ranges: int, size: int):
 
 def remove(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes)."""
-    ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = cut(rows.mapInArrow(_pack(size, gram), PACKED))
     asked = blocks.select("block", "anchors", "which").mapInArrow(_ask_anchors(ranges), "range int, block long, keys binary, counts binary")
