@@ -19,7 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), prove=quality.sequential)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

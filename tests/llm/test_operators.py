@@ -370,3 +370,30 @@ def test_thresholds_need_proof_and_reject_junk(spark):
     assert out.where("doc_id >= 5000 and doc_id < 9000 and kept").count() == 0
     assert out.where("doc_id < 2500 and not kept").count() <= 0.02 * 2500
     assert out.where("doc_id = 9000").first()["kept"]  # no labels in its stratum: nothing is proven
+
+
+def test_sequential_proof_reaches_small_strata(spark):
+    g = random.Random(3)
+    rows = [(k, text(g, 30), "en") for k in range(600)] + [(1000 + k, text(g, 30), "de") for k in range(300)]
+    rows += [(2000 + k, text(g, 30), f"small{k % 2}") for k in range(300)]
+    junk = " ".join(w + "***" for w in text(g, 60).split())
+    rows += [(5000, junk, "en"), (5001, junk, "de"), (5002, junk, "small0"), (5003, junk, "small1"), (5004, junk, "bare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k, *_ in rows if k < 5000], "doc_id long, quality int")
+    out = quality.verdicts(docs, labels, prove=quality.sequential)
+    assert {r["doc_id"] for r in out.where("doc_id >= 5000 and kept").collect()} == {5004}  # no labels in its stratum
+    assert out.where("doc_id < 5000 and not base_failed and not kept").count() <= 0.02 * 1200
+    assert quality.keep(docs, labels, prove=quality.sequential).count() == out.where("kept").count()
+    # below the floor nothing is proven, together or apart
+    few = labels.where(f"doc_id < {quality.least_labels(1) - 1}")
+    assert quality.verdicts(docs, few, prove=quality.sequential).where("kept = base_failed").count() == 0
+
+
+def test_pipeline_rules_prove_small_strata(spark, tmp_path):
+    import corpus_pipeline
+
+    g = random.Random(4)
+    good = [(k, text(g, 30), "de") for k in range(400)]
+    docs = spark.createDataFrame([*good, (5000, " ".join(w + "***" for w in text(g, 60).split()), "de")], "doc_id long, text string, lang string")
+    spark.createDataFrame([(k, 1) for k, *_ in good], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.rules(spark, docs, str(tmp_path)).where("doc_id = 5000").count() == 0
