@@ -360,6 +360,13 @@ def test_binomial_tail(spark):
         assert math.isclose(got, exact, rel_tol=1e-6)
 
 
+def test_binomial_tail_is_exact_beyond_exact_terms(spark):
+    for n, k, p in [(20_000_000, 79_000, 0.004), (20_000_000, 79_950, 0.004), (3_000_000, 59_300, 0.02)]:
+        exact = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)) for j in range(k - 5000, k + 1))
+        got = spark.range(1).select(quality.tail(F.lit(n).cast("long"), F.lit(k).cast("long"), p)).first()[0]
+        assert k > quality.EXACT_TERMS and math.isclose(got, exact, rel_tol=1e-5)
+
+
 def test_thresholds_need_proof_and_reject_junk(spark):
     g = random.Random(2)
     good = [(k, text(g, 30), "en", "a") for k in range(2500)]
