@@ -115,19 +115,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running_sum(values: Column, chunk: int = 256) -> Column:
-    """Inclusive running sums of a non-empty array of longs, in chunks so that the copying stays near-linear."""
+def running(values: Column, add: Callable[[Column, Column], Column], chunk: int = 256) -> Column:
+    """Inclusive running results of `add` (associative; 0 changes nothing) over a non-empty array of longs, in chunks so that
+    the copying stays near-linear."""
     zero = F.array(F.lit(0).cast("long"))
 
     def sums(a: Column) -> Column:
-        grown = F.aggregate(a, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        grown = F.aggregate(a, zero, lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x))))
         return F.slice(grown, 2, F.size(a))
 
     def whole(v: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int")), lambda k: sums(F.slice(v, k * chunk + 1, chunk)))
-        return let(parts, lambda p: let(before(p), lambda b: F.flatten(F.transform(p, lambda q, k: F.transform(q, lambda x: x + F.element_at(b, k + 1))))))
+        return let(parts, lambda p: let(before(p), lambda b: F.flatten(F.transform(p, lambda q, k: F.transform(q, lambda x: add(x, F.element_at(b, k + 1)))))))
 
     def before(p: Column) -> Column:
-        return F.aggregate(p, zero, lambda acc, q: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(q, -1))))
+        return F.aggregate(p, zero, lambda acc, q: F.concat(acc, F.array(add(F.element_at(acc, -1), F.element_at(q, -1)))))
 
     return let(values, whole)
+
+
+def running_sum(values: Column) -> Column:
+    return running(values, lambda a, b: a + b)
+
+
+def running_max(values: Column) -> Column:
+    """For longs of 0 or more."""
+    return running(values, F.greatest)

@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
+    return secrets.scan(_table(spark, sf_dir, "documents"), secrets.default_model(spark))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

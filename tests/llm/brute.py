@@ -27,6 +27,34 @@ def secrets(rows):
     return [(k, *n, sha(said)) for k, t in rows for n, said in [_spans(t, kinds)]]
 
 
+def secret_spans(text, model, symbols, drop, widen):
+    """All spans of a text: the base ones, and the segments that the two Markov models tell from what is left."""
+    text = text or ""
+    kinds = [("assign", ASSIGN, lambda m: len(m[2]) >= 6), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24)]
+    found = [(m.start(), i, m.end()) for i, (_, pattern, ok) in enumerate(kinds) for m in re.finditer(pattern, text) if ok(m)]
+    left = list(text)
+    for s, _, e in found:
+        left[s:e] = " " * (e - s)
+    for m in re.finditer("[A-Za-z0-9+/_-]{20,}", "".join(left)):
+        run, segs, total, start, best, end = m[0], [], 0.0, 0, 0.0, 1
+        for i in range(1, len(run) + 1):
+            total += model.ratios[symbols.index(run[i - 1]) * len(symbols) + symbols.index(run[i])] if i < len(run) else -1e9
+            if total < 0 or total < best - drop:
+                if best >= model.cutoff:
+                    segs.append((start, end))
+                total, start, best, end = 0.0, i, 0.0, i + 1
+            elif total > best:
+                best, end = total, i + 1
+        last = 0
+        for k, (s, e) in enumerate(segs):
+            e += len(re.match("[A-Za-z0-9]*", run[e : e + widen])[0])
+            e = min(e, segs[k + 1][0]) if k + 1 < len(segs) else e
+            s = max(last, s - len(re.search("[A-Za-z0-9]*$", run[max(0, s - widen) : s])[0]))
+            found.append((m.start() + s, 3, m.start() + e))
+            last = e
+    return ",".join(f"{['assign', 'access', 'hex', 'random'][k]}:{s}:{e}" for s, k, e in sorted(found))
+
+
 def _luhn(digits):
     return sum(x // 10 + x % 10 for i, c in enumerate(reversed(digits)) for x in [int(c) * (1 + i % 2)]) % 10 == 0
 
