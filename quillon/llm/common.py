@@ -23,20 +23,46 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset
-    (tests), a temporary folder set once for the session's context."""
+    """The folder that driver and executors share: spark.checkpoint.dir or the context's checkpoint folder. Where
+    neither is set a session in one process (tests) gets a temporary folder; a cluster cannot share one, so that
+    is an error there."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "quillon-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, for one run's files."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, for one run's files. It goes when the application ends, unless the
+    process is killed first."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def load_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """A small file in whichever file system holds it; None if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"])
+
+
+def save_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
+    """Write a small file so that it appears whole; a file that another writer put there meanwhile stays."""
+    part, at = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.{uuid.uuid4().hex}", path))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part)
+    out.write(bytearray(raw))
+    out.close()
+    if fs.exists(at) or not fs.rename(part, at):
+        fs.delete(part, False)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,12 +71,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def remove_dir(spark: SparkSession, path: str) -> None:
-    """Delete a path made by fresh_dir, in whichever file system holds it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def computed(df: DataFrame) -> DataFrame:
     """df with a column `_computed` that is never negative. A filter that names it stays above the columns of
     df; otherwise Spark pushes the filter below them and evaluates their expressions once more, in lambdas

@@ -21,7 +21,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.scan(_table(spark, sf_dir, "documents"), pii.default_model())
+    return pii.scan(_table(spark, sf_dir, "documents"), pii.default_model(spark))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import math
 import re
 import zlib
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD3 = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -59,15 +61,88 @@ def _luhn(digits):
     return sum(x // 10 + x % 10 for i, c in enumerate(reversed(digits)) for x in [int(c) * (1 + i % 2)]) % 10 == 0
 
 
+def _digits(m):
+    return re.sub("[^0-9]", "", m[0])
+
+
+PERSONAL = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(_digits(m)) <= 19 and _luhn(_digits(m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(_digits(m)) <= 15),
+]
+
+
 def personal(rows):
-    digits = lambda m: re.sub("[^0-9]", "", m[0])
-    kinds = [
-        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
-        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
-        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m)) <= 19 and _luhn(digits(m))),
-        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
-    ]
-    return [(k, *n, sha(said)) for k, t in rows for n, said in [_spans(t, kinds)]]
+    return [(k, *n, sha(said)) for k, t in rows for n, said in [_spans(t, PERSONAL)]]
+
+
+def _network(p, x):
+    """Scores (T, labels) of one window of classes, step by step."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    both = []
+    for way in (0, 1):
+        n = p["U"].shape[1]
+        h, c, hs = np.zeros(n), np.zeros(n), []
+        for k in x if way == 0 else x[::-1]:
+            z = p["W"][way, k].astype(float) + p["c"][way] + h @ p["U"][way]
+            c = sigmoid(z[n : 2 * n]) * c + sigmoid(z[:n]) * np.tanh(z[3 * n :])
+            h = sigmoid(z[2 * n : 3 * n]) * np.tanh(c)
+            hs.append(h)
+        both.append(hs if way == 0 else hs[::-1])
+    return np.concatenate(both, 1) @ p["V"] + p["d"]
+
+
+def _best(p, e):
+    """Labels of the best path."""
+    best, back = [e[0]], []
+    for row in e[1:]:
+        s = best[-1][:, None] + p["A"]
+        back.append(s.argmax(0))
+        best.append(s.max(0) + row)
+    path = [int(best[-1].argmax())]
+    for b in back[::-1]:
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def personal_spans(text, model, window, stride, margin, classes, allowed):
+    """All spans of a text: the base ones, and those of the network in the set of disjoint ones of the largest sum."""
+    kinds = ["email", "ip", "card", "phone"]
+    base = [(int(s), kinds.index(k), int(e)) for k, s, e in (x.split(":") for x in _spans(text, PERSONAL)[1].split(",") if x)]
+    found = {}
+    for at in range(0, max(1, len(text) - window + stride) if text else 0, stride):
+        x = classes(text[at : at + window])
+        x = list(x) + [0] * (-len(x) % 32)
+        e = _network(model, x)
+        path = _best(model, e)
+        a = model["A"] - model["A"][0, 0]
+        i = 0
+        while i < len(path):
+            j = i + 1
+            if path[i]:
+                kind = (path[i] - 1) // 2
+                while j < len(path) and path[j] == 2 + 2 * kind:
+                    j += 1
+                steps = [(path[t - 1], path[t]) for t in range(max(i, 1), j)] + ([(path[j - 1], 0)] if j < len(path) and path[j] == 0 else [])
+                w = sum(e[t, path[t]] - e[t, 0] for t in range(i, j)) + sum(a[u, v] for u, v in steps)
+                s, t = at + i, at + j
+                if w >= margin and not any(b[0] < t and s < b[2] for b in base) and allowed(text, s, kind, t):
+                    found[s, kind, t] = max(w, found.get((s, kind, t), w))
+            i = j
+    spans = sorted(found.items())
+
+    def best(k, end):
+        if k == len(spans):
+            return 0.0, []
+        (s, kind, e), w = spans[k]
+        without = best(k + 1, end)
+        if s < end:
+            return without
+        more = best(k + 1, e)
+        return max((without, (more[0] + w, [(s, kind, e), *more[1]])), key=lambda r: r[0])
+
+    return ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in sorted(base + best(0, 0)[1]))
 
 
 def contamination(rows, items):
