@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Characters outside the words of the decontamination contract, after lower-casing.
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A small side with at most this many rows may be broadcast.
-BROADCAST_ROWS = 100_000
+#: A side of at most so many rows and, as JSON text, bytes may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -78,11 +78,16 @@ def computed(df: DataFrame) -> DataFrame:
     return df.withColumn("_computed", F.monotonically_increasing_id())
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether df may be broadcast. Its first rows are counted and measured, so df should be cheap to compute."""
+    n, size = df.limit(BROADCAST_ROWS + 1).select(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("x")).agg(F.count(F.lit(1)), F.sum("x")).first()
+    return n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+
+
 def join_small(big: DataFrame, small: DataFrame, on: Column, how: str = "left") -> DataFrame:
-    """Join a side that is expected to be small. Its rows are counted first: up to BROADCAST_ROWS it is
-    broadcast, beyond that Spark picks a shuffled join and adaptive execution splits hot keys."""
-    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return big.join(F.broadcast(small) if few else small, on, how)
+    """Join a side that is expected to be small: broadcast where it is, and beyond that a join that Spark shuffles, whose
+    hot keys adaptive execution splits."""
+    return big.join(F.broadcast(small) if is_small(small) else small, on, how)
 
 
 def words(text: Column) -> Column:

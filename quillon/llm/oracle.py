@@ -73,16 +73,14 @@ FROM q
 
 
 def _quality_sql() -> str:
-    from quillon.llm.quality import ALPHA, DELTA, RULES
+    from quillon.llm.quality import ALPHA, DELTA, RULES, steps
 
-    p = ALPHA / len(RULES)
-    tests = sum(len(grid) for _, grid in RULES.values())
+    rules, path = list(RULES), steps()
     values = ", ".join(f"{metric} AS m{i}" for i, (metric, _) in enumerate(RULES.values()))
-    cells = " UNION ALL ".join(
-        f"SELECT g, {i} AS rule, {cut}::DOUBLE AS cut, count(*) AS n, count(*) FILTER (WHERE m{i} > {cut}) AS k FROM good GROUP BY g" for i, (_, grid) in enumerate(RULES.values()) for cut in grid
-    )
-    broken = " OR ".join(f"coalesce(m{i} > (SELECT min(cut) FROM proven WHERE proven.g = v.g AND rule = {i}), FALSE)" for i in range(len(RULES)))
-    term = f"exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))"
+    first = ", ".join(f"CASE WHEN m{rules.index(rule)} > {cut} THEN {i} END" for i, (rule, cut) in enumerate(path))
+    table = ", ".join(f"({i}, {rules.index(rule)}, {cut}::DOUBLE)" for i, (rule, cut) in enumerate(path))
+    broken = " OR ".join(f"coalesce(m{i} > (SELECT cut FROM limits WHERE limits.g = v.g AND rule = {i}), FALSE)" for i in range(len(rules)))
+    term = f"exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA}))"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, chr(0)) AS g, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
 f AS (SELECT r, i, array_to_string(ws[i : i + 7], ' ') AS win FROM d, unnest(generate_series(1, len(ws) - 7)) AS s(i)),
@@ -92,9 +90,13 @@ l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x
 m AS (SELECT d.r, doc_id, g, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines,
              len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(t) - length(replace(t, '!', '')) AS n_bangs FROM d JOIN l ON l.r = d.r LEFT JOIN c ON c.r = d.r),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {values} FROM m),
-good AS (SELECT * FROM v WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
-cells AS ({cells}),
-proven AS (SELECT * FROM cells WHERE k < n * {p} AND list_sum(list_transform(generate_series(0, k), lambda j: {term})) <= {DELTA} / ({tests} * (SELECT count(DISTINCT g) FROM good)))
+good AS (SELECT g, coalesce(list_min([{first}]), {len(path)}) AS first FROM v WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
+strata AS (SELECT g, count(*) AS own FROM good GROUP BY g),
+shares AS (SELECT {DELTA} / (greatest(1, count(*)) + 1) AS share FROM strata),
+pools AS (SELECT g, CASE WHEN own >= ceil(ln(share) / ln(1 - {ALPHA})) THEN g END AS pool FROM strata, shares),
+cells AS (SELECT pool, i, count(*) AS n, count(*) FILTER (WHERE first <= i) AS k FROM good JOIN pools USING (g), range({len(path)}) AS s(i) GROUP BY pool, i),
+proven AS (SELECT pool, i FROM cells, shares WHERE k < n * {ALPHA} AND list_sum(list_transform(generate_series(0, k), lambda j: {term})) <= share),
+limits AS (SELECT g, rule, min(cut) AS cut FROM pools JOIN proven ON proven.pool IS NOT DISTINCT FROM pools.pool JOIN (VALUES {table}) AS p(i, rule, cut) USING (i) GROUP BY g, rule)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT ({broken}) AS kept FROM v
 """

@@ -1,18 +1,13 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule compares a metric of a text with a cutoff. For every stratum and rule the smallest cutoff of a
-fixed grid is chosen for which labelled documents prove, by an exact binomial test, that at most
-`alpha / number of rules` of the good documents of the stratum are rejected. The tests share `delta`
-(Bonferroni over strata, rules and cutoffs), so with probability 1 - delta no stratum loses more than
-`alpha` of its good documents. A rule without a proven cutoff rejects nothing in its stratum. This is
-`thresholds`, the method of the registered query and its SQL.
-
-`sequential` proves the same with far fewer labels. The cutoffs of all rules form one fixed sequence from
-lenient to strict, a rule tightened at each step, and a step is tested by the documents that any rule rejects
-there. Steps are nested, so that neither cutoffs nor rules share `delta` or `alpha`; only strata do. Strata
-with fewer good documents than any proof needs are tested together, and their shared cutoffs are proven for
-their good documents taken together, not for each of them. Good documents are those that pass the base rule.
-A stratum without good labelled documents has no cutoffs.
+Each rule compares a metric of a text with a cutoff. The cutoffs of all rules form one fixed sequence from lenient to
+strict, a rule tightened at each step, and a step rejects what any rule rejects there. Per stratum the steps are
+tested in this order on labelled good documents, by exact binomial tests that a step rejects at most `alpha` of the
+good documents; the last step that passes gives the cutoffs. Steps are nested, so that neither cutoffs nor rules share
+`delta` or `alpha`; only strata share `delta` (Bonferroni). With probability 1 - delta no stratum loses more than
+`alpha` of its good documents. Strata with fewer good documents than any proof needs (`least_labels`) are tested
+together, and their shared cutoffs are proven for their good documents taken together, not for each of them. Good
+documents are those that pass the base rule. A stratum without good labelled documents has no cutoffs.
 
 Defined results: a null or empty text has no words and fails the base rule; a null stratum is a stratum of
 its own; null or repeated labels are settled by the lowest label of a doc_id, labels of unknown documents
@@ -23,12 +18,11 @@ are ignored by `verdicts` and kept by `keep`.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import computed, cut, join_small, let, words
+from quillon.llm.common import cut, join_small, let, words
 
 WINDOW = 8
 #: Rule -> (metric over the measured columns, grid of cutoffs from strict to lenient).
@@ -128,32 +122,20 @@ def _strictest(proven: DataFrame) -> DataFrame:
     return best.groupBy("_stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per stratum: _stratum and a map `cutoffs` from rule to its proven cutoff (absent: none).
-    measured: doc_id, the stratum and the measured columns; labels: doc_id and quality (1: good)."""
-    counts = [F.sum((F.expr(metric) > c).cast("long")).alias(f"{rule}:{i}") for rule, (metric, grid) in RULES.items() for i, c in enumerate(grid)]
-    table = _good(measured, labels).groupBy(F.coalesce(F.col(stratum), F.lit("\x00")).alias("_stratum")).agg(F.count(F.lit(1)).alias("n"), *counts)
-    table = cut(table)
-    strata = max(1, table.count())
-    cells = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"`{rule}:{i}`").alias("k")) for rule, (_, grid) in RULES.items() for i, c in enumerate(grid)])
-    tests = sum(len(grid) for _, grid in RULES.values())
-    proven = table.select("_stratum", "n", F.explode(cells).alias("c")).where(tail(F.col("n"), F.col("c.k"), alpha / len(RULES)) <= delta / (tests * strata))
-    return _strictest(proven)
-
-
 def steps() -> list[tuple[str, float]]:
-    """The fixed sequence of `sequential`: (rule, cutoff), by turns, each rule from lenient to strict."""
+    """The fixed sequence: (rule, cutoff), by turns, each rule from lenient to strict."""
     longest = max(len(grid) for _, grid in RULES.values())
     return [(rule, grid[-1 - level]) for level in range(longest) for rule, (_, grid) in RULES.items() if level < len(grid)]
 
 
 def least_labels(strata: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
-    """Good documents that a proof of `sequential` needs where none of them is rejected."""
+    """Good documents that a proof needs where none of them is rejected."""
     return math.ceil(math.log(delta / (strata + 1)) / math.log1p(-alpha))
 
 
-def sequential(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """As `thresholds`, by one fixed sequence of nested steps; the strata and their pool share delta."""
+def thresholds(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """One row per stratum: _stratum and a map `cutoffs` from rule to its proven cutoff (absent: none). The strata and
+    their pool share delta. measured: doc_id, the stratum and the measured columns; labels: doc_id and quality (1: good)."""
     path = steps()
     # the first step that rejects a document; later ones are stricter and reject it too
     first = F.least(*[F.when(F.expr(RULES[rule][0]) > c, F.lit(i)) for i, (rule, c) in enumerate(path)])
@@ -179,18 +161,21 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~broken).drop("_stratum", "cutoffs")
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, prove: Callable[..., DataFrame] = thresholds) -> DataFrame:
+def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Measured columns, base_failed and kept of every document; texts are read once."""
     measured = cut(measure(docs.select("doc_id", "text", stratum)).drop("text"))
-    return judge(measured, prove(measured, labels, stratum, alpha, delta), stratum)
+    return judge(measured, thresholds(measured, labels, stratum, alpha, delta), stratum)
 
 
-def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, prove: Callable[..., DataFrame] = thresholds) -> DataFrame:
-    """The documents that the rules keep, with their columns."""
+def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The documents that the rules keep, with their columns. Texts are measured once; a verdict depends on text and
+    stratum alone and comes back to its documents by 128 bits of their hash."""
     own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     held = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in own.items()])
-    named = held.withColumns({"doc_id": F.col(own["doc_id"]), "text": F.col(own["text"]), stratum: F.col(own[stratum])})
-    slim = cut(measure(named.select("doc_id", "text", stratum)).drop("text"))
-    cutoffs = prove(slim, labels, stratum, alpha, delta)
-    kept = judge(computed(measure(named)), cut(cutoffs), stratum).where("kept and _computed >= 0")
+    parts = [F.coalesce(F.col(own["text"]), F.lit("")), F.col(own[stratum])]
+    keyed = held.withColumns({"_k": F.xxhash64(*parts), "_l": F.xxhash64(F.lit(1), *parts)})
+    slim = keyed.select(F.col(own["doc_id"]).alias("doc_id"), parts[0].alias("text"), F.col(own[stratum]).alias(stratum), F.col("_k").alias("_a"), F.col("_l").alias("_b"))
+    measured = cut(measure(slim).drop("text"))
+    gone = cut(judge(measured, thresholds(measured, labels, stratum, alpha, delta), stratum).where("not kept").select("_a", "_b").distinct())
+    kept = join_small(keyed, gone, (F.col("_k") == F.col("_a")) & (F.col("_l") == F.col("_b")), "left_anti")
     return kept.select(*[F.col(x).alias(c) for c, x in own.items()])

@@ -447,13 +447,13 @@ def test_sequential_proof_reaches_small_strata(spark):
     rows += [(5000, junk, "en"), (5001, junk, "de"), (5002, junk, "small0"), (5003, junk, "small1"), (5004, junk, "bare")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(k, 1) for k, *_ in rows if k < 5000], "doc_id long, quality int")
-    out = quality.verdicts(docs, labels, prove=quality.sequential)
+    out = quality.verdicts(docs, labels)
     assert {r["doc_id"] for r in out.where("doc_id >= 5000 and kept").collect()} == {5004}  # no labels in its stratum
     assert out.where("doc_id < 5000 and not base_failed and not kept").count() <= 0.02 * 1200
-    assert quality.keep(docs, labels, prove=quality.sequential).count() == out.where("kept").count()
+    assert quality.keep(docs, labels).count() == out.where("kept").count()
     # below the floor nothing is proven, together or apart
     few = labels.where(f"doc_id < {quality.least_labels(1) - 1}")
-    assert quality.verdicts(docs, few, prove=quality.sequential).where("kept = base_failed").count() == 0
+    assert quality.verdicts(docs, few).where("kept = base_failed").count() == 0
 
 
 def test_pipeline_rules_prove_small_strata(spark, tmp_path):
