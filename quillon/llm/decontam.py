@@ -1,8 +1,10 @@
 """Benchmark decontamination, in DataFrame functions only.
 
 The windows of the benchmark items (`size` normalised words; a shorter item is one window of its own length)
-form a hash set that is broadcast once its rows are counted. The windows of every document are probed
-against it, hits are verified word by word, and words or whole documents are removed.
+form a set of 64-bit hashes that is broadcast: at most HASH_BYTES at once, counted first, and in slices with a pass
+over the documents each where the benchmarks have more. The windows of every document are probed against it; only
+those that hit carry their words on, to be verified word by word. Words or whole documents are then removed. No window
+that misses is ever shuffled.
 
 Defined results: null texts have no words; a null item_id gives hits but no item; equal item_ids are one
 item; documents with equal doc_id are told apart by their text, and fully equal rows each get the same
@@ -12,12 +14,16 @@ result; empty tables give no hits; further columns are ignored by `scan` and kep
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import BROADCAST_ROWS, NON_WORD, ascii_lower, cut, join_small
+from quillon.llm.common import NON_WORD, ascii_lower, cut, join_small, let, running_max
 
 SIZE = 10
+#: Bytes of window hashes, eight each, that are broadcast at once.
+HASH_BYTES = 64 << 20
 
 
 def normalised(text):
@@ -50,25 +56,30 @@ def _windows(n: int):
     return F.struct(F.lit(n).alias("n"), F.when(F.size("ws") >= n, hashes).otherwise(F.array().cast("array<bigint>")).alias("hs"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """Per document with a hit: doc_id, t_hash (of its text), sorted distinct `spans` (first word from 0,
-    number of words) and sorted item ids. The sizes of windows in use are at most `size` numbers."""
-    windows = window_set(benchmark, size).persist()
-    sizes = sorted(r[0] for r in windows.select("w_size").distinct().collect())
-    few = windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def _survivors(docs: DataFrame, hashes: DataFrame, sizes: list[int]) -> DataFrame:
+    """The windows of docs whose hash and size are in `hashes` (broadcast): doc_id, t_hash, at, n, h, words."""
     df = docs.select("doc_id", _key(), normalised(F.col("text")).alias("ws"))
     # The arrays are made in a projection of their own, as generators over plain columns are compiled; the
     # outer kind keeps Spark from inferring a filter that would compute the arrays twice.
-    df = df.withColumn("sized", F.array(*[_windows(n) for n in sizes or [size]]))
+    df = df.withColumn("sized", F.array(*[_windows(n) for n in sizes]))
     one = df.select("doc_id", "t_hash", "ws", F.explode_outer("sized").alias("s")).select("doc_id", "t_hash", "ws", "s.n", "s.hs")
-    probes = one.select("doc_id", "t_hash", "ws", "n", F.posexplode_outer("hs").alias("i", "h")).withColumn("i", F.col("i") + 1)
-    own = F.slice("ws", F.col("i"), F.col("n"))
-    probes = probes if few else probes.withColumn("ws", own)
-    own = own if few else F.col("ws")
-    # two comparisons, lest the words become a key of the join and are built for every window
-    same = (own >= F.col("w_words")) & (own <= F.col("w_words"))
-    found = probes.join(F.broadcast(windows) if few else windows, (F.col("h") == F.col("w_hash")) & same)
-    found = found.select("doc_id", "t_hash", F.struct((F.col("i") - 1).alias("at"), F.col("n").alias("n")).alias("span"), "items")
+    probes = one.select("doc_id", "t_hash", "ws", "n", F.posexplode_outer("hs").alias("at", "h"))
+    found = probes.join(F.broadcast(hashes), (F.col("h") == F.col("w_hash")) & (F.col("n") == F.col("w_size")), "left_semi")
+    return found.select("doc_id", "t_hash", "at", "n", "h", F.slice("ws", F.col("at") + 1, F.col("n")).alias("words"))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
+    """Per document with a hit: doc_id, t_hash (of its text), sorted distinct `spans` (first word from 0,
+    number of words) and sorted item ids."""
+    windows = cut(window_set(benchmark, size))
+    counts = {r["w_size"]: r["count"] for r in windows.groupBy("w_size").count().collect()}  # at most `size` rows
+    slices = max(1, -(-8 * sum(counts.values()) // HASH_BYTES))
+    hashes = windows.select("w_hash", "w_size").distinct()
+    parts = [_survivors(docs, hashes.where(F.pmod("w_hash", F.lit(slices)) == k), sorted(counts) or [size]) for k in range(slices)]
+    if slices > 1:  # one slice in memory at a time
+        parts = [cut(p) for p in parts]
+    found = reduce(DataFrame.unionByName, parts).join(windows, (F.col("h") == F.col("w_hash")) & (F.col("words") == F.col("w_words")))
+    found = found.select("doc_id", "t_hash", F.struct("at", "n").alias("span"), "items")
     return found.groupBy("doc_id", "t_hash").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
@@ -111,7 +122,15 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) ->
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """All documents; in those with a hit the text becomes their words outside the hits, joined by spaces."""
     joined = _with_hits(docs, benchmark, size)
-    inside = F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))
-    kept = F.filter(F.transform(normalised(F.col("text")), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: ~F.array_contains("_in", x["i"]))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["w"]), " "))
-    return joined.withColumn("_in", F.array_distinct(inside)).withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    def outside(ws, spans, ends):
+        def gap(s, i):
+            last = F.coalesce(F.get(ends, i - 1), F.lit(0)).cast("int")
+            return F.slice(ws, last + 1, F.greatest(s["at"] - last, F.lit(0)))
+
+        return F.concat(F.flatten(F.transform(spans, gap)), F.slice(ws, F.element_at(ends, -1).cast("int") + 1, F.size(ws)))
+
+    ends = running_max(F.transform("_spans", lambda s: (s["at"] + s["n"]).cast("long")))
+    kept = let(normalised(F.col("text")), lambda ws: let(F.col("_spans"), lambda spans: let(ends, lambda e: outside(ws, spans, e))))
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))
+    return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -145,6 +145,14 @@ def personal_spans(text, model, window, stride, margin, classes, allowed):
     return ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in sorted(base + best(0, 0)[1]))
 
 
+def uncontaminated(text, items):
+    """The words of a text outside the windows of the items."""
+    windows = {tuple(ws[i : i + n]) for _, t in items for ws in [WORD3.findall((t or "").translate(LOW))] for n in [min(10, len(ws))] for i in range(len(ws) - n + 1) if n}
+    ws = WORD3.findall((text or "").translate(LOW))
+    hit = {j for n in {len(w) for w in windows} for i in range(len(ws) - n + 1) if tuple(ws[i : i + n]) in windows for j in range(i, i + n)}
+    return [w for j, w in enumerate(ws) if j not in hit]
+
+
 def contamination(rows, items):
     windows = collections.defaultdict(set)
     for item, text in items:

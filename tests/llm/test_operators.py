@@ -218,13 +218,31 @@ def test_decontamination(spark, docs, empty, rows, items):
     kept = decontam.remove_documents(docs, bench)
     assert kept.columns == docs.columns and kept.count() == len(rows) - len(dirty)
     spans = decontam.remove_spans(docs, bench)
-    assert spans.count() == len(rows)
-    assert [r for r in brute.contamination([(r["doc_id"], r["text"]) for r in spans.collect()], items[:2]) if r[5]] == []
+    assert spans.columns == docs.columns and spans.count() == len(rows)
+    left = sorted((" ".join(brute.uncontaminated(t, items)) if hit else t or "") for (k, t), (_, _, _, _, _, hit) in zip(rows, brute.contamination(rows, items)))
+    assert sorted(r["text"] or "" for r in spans.collect()) == left
 
 
-def test_decontamination_without_broadcast(spark, docs, rows, items, monkeypatch):
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
-    same(decontam.scan(docs, spark.createDataFrame(items, "item_id long, text string")).collect(), brute.contamination(rows, items))
+def test_decontamination_in_slices(spark, docs, rows, items, monkeypatch):
+    monkeypatch.setattr(decontam, "HASH_BYTES", 8 * 10)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontam.window_set(bench).count() > 30
+    same(decontam.scan(docs, bench).collect(), brute.contamination(rows, items))
+
+
+def test_decontamination_shuffles_only_windows_that_hit(spark, docs, items):
+    """Every exchange above a probe stands above the broadcast semi join that drops the windows without a hit."""
+    plan = decontam.hits(docs, spark.createDataFrame(items, "item_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    lines = plan[: plan.index("Initial Plan") if "Initial Plan" in plan else None].split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    probe = next(i for i, x in enumerate(lines) if "Generate posexplode" in x)
+    path, at = [], depth(lines[probe])
+    for line in lines[probe - 1 :: -1]:  # the nodes above the probe, nearest first
+        if depth(line) < at:
+            path.append(line)
+            at = depth(line)
+    semi = next(i for i, x in enumerate(path) if "BroadcastHashJoin" in x and "LeftSemi" in x)
+    assert not any("Exchange" in x for x in path[:semi]) and any("Exchange" in x for x in path[semi:])
 
 
 def test_mixing(docs, empty, rows):
