@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +80,36 @@ def computed(df: DataFrame) -> DataFrame:
     return df.withColumn("_computed", F.monotonically_increasing_id())
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df written to the shared folder as a table in buckets of `key`, as many as shuffles have partitions: the
+    lineage is cut, and grouping by key afterwards does not shuffle the rows again."""
+    spark = df.sparkSession
+    path = fresh_dir(spark, name)
+    table = f"quillon_{path.rsplit('-', 1)[1]}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", path).option("compression", "none").saveAsTable(table)
+    return spark.table(table)
+
+
+def forget(spark: SparkSession) -> None:
+    """Let the cleaner remove the shuffle files of plans that nobody holds any more, which else stay until the
+    driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def to_bytes(values: pa.Array) -> bytes:
+    """An Arrow array of any type, compressed, for a binary column."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("x", values.type)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([values], names=["x"]))
+    return sink.getvalue().to_pybytes()
+
+
+def from_bytes(raw: bytes) -> list:
+    return pa.ipc.open_stream(raw).read_all().column("x").to_pylist()
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether df may be broadcast. Its first rows are counted and measured, so df should be cheap to compute."""
     n, size = df.limit(BROADCAST_ROWS + 1).select(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("x")).agg(F.count(F.lit(1)), F.sum("x")).first()

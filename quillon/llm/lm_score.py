@@ -1,18 +1,23 @@
-"""Language-model scores by deleted interpolation of a bigram model.
-
-P(w | v) = a2 c(v,w)/c(v) + a1 c(w)/N + a0 1/(V+1), with weights a for each bucket of the context's count
-c(v) (powers of two). The weights are learned by expectation-maximisation on a deleted part of the training
-documents, whose tokens are scored with the counts of the other training documents; the model then uses the
-counts of all of them. Base: add-0.1 unigrams.
-
-No n-gram is a row and no table of counts is broadcast. A pass over the texts packs the documents of a task
-into blocks; each block asks, per range of hashes, for the counts of its distinct n-grams and brings its own
-counts along. A range is summed over all blocks in one place, which answers every block in the order asked.
-A frequent word is one entry of a block, so no key is hot. Words go by 64-bit hashes, pairs by PAIR_BITS.
+"""Language-model scores by deleted interpolation.
+
+P1(w) = a c(w)/N + (1 - a)/(V + 1), and for each longer n-gram up to `order` words P(w | h) = a c(h w)/c(h) + (1 - a) P(w |
+h without its first word), where the weight a belongs to the bucket of the context's count c(h) (powers of two, as many
+as counts reach) and is 0 for a context never seen. The weights of one length after the other are learned by
+expectation-maximisation on a deleted part of the training documents, whose tokens are scored with the counts of the
+other training documents; the model then uses the counts of all of them. A text starts with a mark that is a context
+like a word. Base: add-0.1 unigrams.
+
+No n-gram is a row and no table of counts is broadcast. A pass over the texts packs the documents of a task into
+blocks. For each length a block asks, per range of hashes, for the counts of its distinct n-grams and brings its own
+counts along; a range is summed over all blocks in one place, which answers every block in the order asked. An n-gram
+whose first or last part occurs in no other block occurs in no other block either, and is not asked for. Blocks are
+bucketed by their number, so that they stay where they are. Ranges follow the number of tokens and hold about
+RANGE_KEYS keys each, so that a group stays bounded at any size of the input. A frequent word is one entry of a block,
+so no key is hot. N-grams go by 64-bit hashes: of n distinct ones a share of n / 2^64 meets another.
 
 Defined results: null and empty texts have the end token alone; a null doc_id counts as empty text (remainder
-0: held out); rows of equal doc_id are separate documents; without training tokens N and V are 0 and every
-score is that of an unknown token; an empty table gives an empty table; further columns are ignored.
+0: held out); rows of equal doc_id are separate documents; doc_id may be of any type; without training tokens N and V
+are 0 and every score is that of an unknown token; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,20 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WordHashes, cut, in_worker
+from quillon.llm.common import WordHashes, bucketed, cut, forget, from_bytes, in_worker, to_bytes
 
 #: Documents with this remainder (modulo FOLDS) are held out; those with DELETED train the weights.
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
-PRIOR = 0.1
-#: Tokens of a block.
-BLOCK_TOKENS = 2_500_000
-#: Context buckets, and steps per power of ten of the histogram that EM runs on.
-BUCKETS, STEPS, ROUNDS = 16, 20, 60
+PRIOR, ORDER = 0.1, 3
+#: Tokens of a block, and keys of a range of hashes.
+BLOCK_TOKENS, RANGE_KEYS = 2_000_000, 4_000_000
+#: Context buckets (powers of two of 64-bit counts), steps per power of ten of the histogram that EM runs on, its rounds.
+BUCKETS, STEPS, ROUNDS = 64, 200, 200
 END, START = np.uint64(0x5EED0E4D), np.uint64(0x5EED057A)  # no word hashes to these but by chance
-NONE = -10_000  # log probability of a component that is 0, in steps
+NONE = -1_000_000  # the step of ratio 0
 TRAIN, DEL, OUT = 0, 1, 2
-#: Two pairs of n distinct ones share a key with probability n * n / 2 ** (PAIR_BITS + 1); their counts are then added.
-PAIR_BITS = 48
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -56,25 +59,84 @@ def unpack(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).ravel()
 
 
-def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+def longer(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of the n-grams with the keys v followed by the words w."""
     x = (v * np.uint64(0x9E3779B97F4A7C15)) ^ (w + (v << np.uint64(7)))
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(32))) >> np.uint64(64 - PAIR_BITS)
+    return x ^ (x >> np.uint64(32))
 
 
-def ngrams(ids: np.ndarray, vocab: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per token: the hash of its context and the key of its pair. ids index vocab; sizes: tokens by document."""
-    w = vocab[ids]
-    v = np.empty_like(w)
-    v[1:] = w[:-1]
-    v[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = START
-    return v, pair_keys(v, w)
+class Block:
+    """The tokens of a block of documents. Per length n: the sorted distinct n-grams `keys[n]`, the block's own
+    counts `own[n]`, and per token the place of the n-gram that ends there, `at[n]` (-1: none so long). Length 1 also
+    has the starting mark, once per document."""
+
+    def __init__(self, sizes: np.ndarray, ids: np.ndarray, vocab: np.ndarray, part: int, order: int):
+        self.sizes, self.part, self.order = sizes, part, order
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        place = int(np.searchsorted(vocab, START))
+        words = np.insert(vocab, place, START)
+        at = ids.astype(np.int64)
+        at += at >= place
+        n1 = np.bincount(at, minlength=len(words))
+        n1[place] += len(sizes)
+        self.start, self.keys, self.own, self.at = place, {1: words}, {1: n1}, {1: at}
+        self.ends: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # per n-gram: places of its first and last n - 1 words
+        self.every: dict[int, np.ndarray] = {}
+        self.kept: dict[int, np.ndarray] = {}
+        word, key = words[at], words[at]
+        for n in range(2, order + 1):
+            before, context = np.empty_like(key), np.empty_like(at)
+            before[1:], context[1:] = key[:-1], self.at[n - 1][:-1]
+            if n == 2:
+                before[starts], context[starts] = START, place
+            else:
+                context[starts] = -1
+            some = np.flatnonzero(context >= 0)
+            key = np.where(context >= 0, longer(before, word), np.uint64(0))
+            self.keys[n], first, inverse, self.own[n] = np.unique(key[some], return_index=True, return_inverse=True, return_counts=True)
+            self.at[n] = np.full(len(at), -1, np.int64)
+            self.at[n][some] = inverse
+            self.ends[n] = context[some[first]], self.at[n - 1][some[first]]
+
+    def context(self, n: int) -> np.ndarray:
+        """Per token the place of the context of its n-gram among those of length n - 1 (-1: none)."""
+        out = np.full(len(self.at[1]), -1, np.int64)
+        some = np.flatnonzero(self.at[n] >= 0)
+        out[some] = self.ends[n][0][self.at[n][some]]
+        return out
+
+    def asked(self, n: int) -> np.ndarray:
+        """Which n-grams other blocks may have; the answers of the length below must be there."""
+        if n == 1:
+            return np.ones(len(self.keys[1]), bool)
+        own = self.own[n - 1] if self.part != OUT else 0
+        elsewhere = self.every[n - 1] > own
+        first, last = self.ends[n]
+        return elsewhere[first] & elsewhere[last]
+
+    def answer(self, n: int, every: np.ndarray, kept: np.ndarray) -> None:
+        """Take the answers of length n. What was not asked for occurs here alone."""
+        asked = self.asked(n)
+        own = self.own[n]
+        self.every[n] = np.where(asked, 0, own if self.part != OUT else 0)
+        self.kept[n] = np.where(asked, 0, own if self.part == TRAIN else 0)
+        self.every[n][asked] = every
+        if self.part == DEL:
+            self.kept[n][asked] = kept
+
+    def counts(self, n: int, of: dict[int, np.ndarray], total: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per token: the count of its n-gram and of its context (0 where there is none so long)."""
+        if n == 1:
+            return of[1][self.at[1]], np.full(len(self.at[1]), total)
+        at, context = self.at[n], self.context(n)
+        return np.where(at >= 0, of[n][np.maximum(at, 0)] if len(of[n]) else 0, 0), np.where(context >= 0, of[n - 1][np.maximum(context, 0)], 0)
 
 
 def _pack_blocks():
-    """One row per block: number, part, doc_ids, sizes, ids and vocab, packed."""
-    names = ["block", "part", "docs", "sizes", "ids", "vocab"]
+    """One row per block: number, part, tokens, doc_ids, sizes, ids and vocab, packed."""
+    names = ["block", "part", "tokens", "docs", "sizes", "ids", "vocab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -83,18 +145,18 @@ def _pack_blocks():
         held: list[tuple[list, list, list[np.ndarray]]] = [([], [], []) for _ in range(3)]
         tokens = [0, 0, 0]
 
-        def flush(part: int) -> pa.RecordBatch:
+        def flush(part: int, kind: pa.DataType) -> pa.RecordBatch:
             nonlocal made
             docs, sizes, hashes = held[part]
             block, made = task << 20 | made, made + 1
             vocab, ids = np.unique(np.concatenate(hashes), return_inverse=True)
-            known = pack(np.array([0 if x is None else x for x in docs], np.int64))
-            named = len(known).to_bytes(4, "little") + known + pack(np.array([x is not None for x in docs], np.uint8))
-            row = [[block], [part], [named], [pack(np.array(sizes, np.int64))], [pack(ids.astype(np.uint32))], [pack(np.diff(vocab, prepend=np.uint64(0)))]]
+            row = [[block], [part], [tokens[part]], [to_bytes(pa.array(docs, kind))], [pack(np.array(sizes, np.int64))], [pack(ids.astype(np.uint32))], [pack(np.diff(vocab, prepend=np.uint64(0)))]]
             held[part], tokens[part] = ([], [], []), 0
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, [pa.int64(), pa.int32(), *[pa.binary()] * 4])], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4])], names=names)
 
+        kind = pa.null()
         for b in batches:
+            kind = b.column("doc_id").type
             for doc_id, rest, text in zip(b.column("doc_id").to_pylist(), b.column("rest").to_pylist(), b.column("text")):
                 words = hashes_of.of(text.as_py())
                 h = np.empty(len(words) + 1, np.uint64)
@@ -105,183 +167,168 @@ def _pack_blocks():
                     to.append(x)
                 tokens[part] += len(h)
                 if tokens[part] >= BLOCK_TOKENS:
-                    yield flush(part)
+                    yield flush(part, kind)
         for part in (TRAIN, DEL, OUT):
             if held[part][0]:
-                yield flush(part)
+                yield flush(part, kind)
 
     return run
 
 
-def _opened(sizes: bytes, ids: bytes, vocab: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return unpack(sizes, np.int64), unpack(ids, np.uint32), np.cumsum(unpack(vocab, np.uint64), dtype=np.uint64)
+def _opened(row, answers: pd.DataFrame | None, order: int, upto: int) -> Block:
+    """A block with n-grams up to `order` words and the answers to lengths up to `upto`."""
+    vocab = np.cumsum(unpack(row["vocab"], np.uint64), dtype=np.uint64)
+    block = Block(unpack(row["sizes"], np.int64), unpack(row["ids"], np.uint32), vocab, int(row["part"]), order)
+    for n in range(1, upto + 1):
+        own = answers[answers["length"] == n].sort_values("range")
+        every, kept = (np.concatenate([np.empty(0, np.int64), *[unpack(x, np.int64) for x in own[c]]]) for c in ("every", "kept"))
+        block.answer(n, every, kept)
+    return block
 
 
-def _asks(ranges: int):
-    """Per block and range of hashes: keys and own counts of single words (and the start), then of pairs."""
-    names = ["range", "block", "part", "k1", "n1", "k2", "n2"]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-    edges = [np.array([r * ((1 << bits) // ranges + 1) for r in range(1, ranges)], np.uint64) for bits in (64, PAIR_BITS)]
+ASK = "length int, range int, block long, part int, keys binary, counts binary"
+ANSWER = "length int, range int, block long, every binary, kept binary"
 
-    def delta(x: np.ndarray) -> bytes:
-        return pack(np.diff(x, prepend=np.uint64(0)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, part, *raw in zip(*[b.column(c).to_pylist() for c in ("block", "part", "sizes", "ids", "vocab")]):
-                sizes, ids, vocab = _opened(*raw)
-                _, keys = ngrams(ids, vocab, sizes)
-                pairs, n2 = np.unique(keys, return_counts=True)
-                n1 = np.bincount(ids, minlength=len(vocab))
-                at = int(np.searchsorted(vocab, START))
-                single, n1 = np.insert(vocab, at, START), np.insert(n1, at, len(sizes))
-                cut1, cut2 = np.searchsorted(single, edges[0]), np.searchsorted(pairs, edges[1])
-                rows = []
-                for r, (i, j, k, m) in enumerate(zip([0, *cut1], [*cut1, len(single)], [0, *cut2], [*cut2, len(pairs)])):
-                    if j > i or m > k:
-                        rows.append([r, block, part, delta(single[i:j]), pack(n1[i:j].astype(np.uint32)), delta(pairs[k:m]), pack(n2[k:m].astype(np.uint32))])
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+def _asks(n: int, ranges: int):
+    """Per block and range of hashes: the n-grams asked for and the block's own counts."""
+    edges = np.array([r * ((1 << 64) // ranges + 1) for r in range(1, ranges)], np.uint64)
+
+    def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for _, row in blocks.iterrows():
+            block = _opened(row, answers, n, n - 1)
+            asked = block.asked(n)
+            keys, own = block.keys[n][asked], block.own[n][asked]
+            cuts = [0, *np.searchsorted(keys, edges), len(keys)]
+            rows += [(n, r, row["block"], row["part"], pack(np.diff(keys[s:e], prepend=np.uint64(0))), pack(own[s:e].astype(np.int64))) for r, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > s]
+        return pd.DataFrame(rows, columns=["length", "range", "block", "part", "keys", "counts"])
 
     return run
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sum one range over all blocks and answer each in its own order: totals over all training documents,
-    and for deleted blocks also without the deleted part. One more row (block -1) has tokens and distinct words."""
-    out: dict[str, list] = {k: [] for k in ("range", "block", "part", "a1", "a2", "b1", "b2")}
-    parts, blocks = pdf["part"].to_numpy(), pdf["block"].to_numpy()
-    answers: list[list[bytes]] = [[] for _ in range(4)]
-    stats = []
-    for keys, counts, both in (("k1", "n1", (0, 2)), ("k2", "n2", (1, 3))):
-        key = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in pdf[keys]]
-        n = [unpack(x, np.uint32) for x in pdf[counts]]
-        size = np.array([len(x) for x in key])
-        distinct, at = np.unique(np.concatenate(key), return_inverse=True)
-        n, part = np.concatenate(n), np.repeat(parts, size)
-        kept = np.bincount(at, weights=np.where(part == TRAIN, n, 0), minlength=len(distinct)).astype(np.int64)
-        every = np.bincount(at, weights=np.where(part != OUT, n, 0), minlength=len(distinct)).astype(np.int64)
-        if keys == "k1":
-            word = distinct != START
-            stats = [int(every[word].sum()), int((every[word] > 0).sum()), int(kept[word].sum()), int((kept[word] > 0).sum())]
-        ends = np.cumsum(size)
-        for s, e, p in zip(ends - size, ends, parts):
-            answers[both[0]].append(pack(every[at[s:e]].astype(np.uint32)))
-            answers[both[1]].append(pack(kept[at[s:e]].astype(np.uint32)) if p == DEL else b"")
-    for i, (block, p) in enumerate(zip(blocks, parts)):
-        for k, x in zip(out, (pdf["range"].iloc[0], block, p, answers[0][i], answers[1][i], answers[2][i], answers[3][i])):
-            out[k].append(x)
-    for k, x in zip(out, (pdf["range"].iloc[0], -1, -1, np.array(stats, np.int64).tobytes(), b"", b"", b"")):
-        out[k].append(x)
-    return pd.DataFrame(out)
-
-
-ANSWER = "range int, block long, part int, a1 binary, a2 binary, b1 binary, b2 binary"
-
-
-def _counts(block: pd.DataFrame, answers: pd.DataFrame, one: str, two: str):
-    """(doc_ids, valid, sizes, c(w), c(v), c(v,w)) per token of a block."""
-    row = block.iloc[0]
-    head = int.from_bytes(row["docs"][:4], "little")
-    doc_ids, valid = unpack(row["docs"][4 : 4 + head], np.int64), unpack(row["docs"][4 + head :], np.uint8).astype(bool)
-    sizes, ids, vocab = _opened(row["sizes"], row["ids"], row["vocab"])
-    answers = answers.sort_values("range")
-    totals1 = np.concatenate([unpack(x, np.uint32) for x in answers[one]]).astype(np.float64)
-    totals2 = np.concatenate([unpack(x, np.uint32) for x in answers[two]]).astype(np.float64)
-    at = int(np.searchsorted(vocab, START))
-    of_start, of_word = totals1[at], np.delete(totals1, at)
-    _, keys = ngrams(ids, vocab, sizes)
-    _, where = np.unique(keys, return_inverse=True)
-    w = of_word[ids]
-    v = np.empty_like(w)
-    v[1:] = w[:-1]
-    v[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = of_start
-    return doc_ids, valid, sizes, w, v, totals2[where]
+    """Sum one range over all blocks and answer each in its own order: counts in all training documents, and for
+    deleted blocks those without the deleted part. For single words one more row (block -1) has tokens and distinct words."""
+    n, place = int(pdf["length"].iloc[0]), int(pdf["range"].iloc[0])
+    parts = pdf["part"].to_numpy()
+    keys = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in pdf["keys"]]
+    size = np.array([len(x) for x in keys])
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
+    counts, part = np.concatenate([unpack(x, np.int64) for x in pdf["counts"]]), np.repeat(parts, size)
+    kept, every = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+    np.add.at(kept, at[part == TRAIN], counts[part == TRAIN])
+    np.add.at(every, at[part != OUT], counts[part != OUT])
+    rows, ends = [], np.cumsum(size)
+    for s, e, p, block in zip(ends - size, ends, parts, pdf["block"]):
+        rows.append((n, place, block, pack(every[at[s:e]]), pack(kept[at[s:e]]) if p == DEL else b""))
+    if n == 1:
+        word = distinct != START
+        stats = [every[word].sum(), (every[word] > 0).sum(), kept[word].sum(), (kept[word] > 0).sum()]
+        rows.append((n, place, -1, np.array(stats, np.int64).tobytes(), b""))
+    return pd.DataFrame(rows, columns=["length", "range", "block", "every", "kept"])
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
-    return np.minimum(BUCKETS - 1, np.floor(np.log2(context + 1))).astype(np.int64)
-
-
-def _histogram(n: float):
-    def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(block) or not len(answers):
-            return pd.DataFrame({"b": [], "q2": [], "q1": [], "n": []}).astype("int64")
-        _, _, _, w, v, vw = _counts(block, answers, "b1", "b2")
-        with np.errstate(divide="ignore", invalid="ignore"):
-            q2 = np.where(vw > 0, np.rint(STEPS * np.log10(vw / v)), NONE).astype(np.int64)
-            q1 = np.where(w > 0, np.rint(STEPS * np.log10(w / n)), NONE).astype(np.int64)
-        cells, count = np.unique(np.stack([bucket(v), q2, q1], 1), axis=0, return_counts=True)
-        return pd.DataFrame({"b": cells[:, 0], "q2": cells[:, 1], "q1": cells[:, 2], "n": count})
+    return np.floor(np.log2(np.maximum(context, 1))).astype(np.int64)
+
+
+def probabilities(block: Block, of: dict[int, np.ndarray], total: int, vocabulary: int, weights: dict[int, np.ndarray], upto: int) -> np.ndarray:
+    """Per token its probability with n-grams up to `upto` words."""
+    p = np.full(len(block.at[1]), 1 / (vocabulary + 1))
+    for n in range(1, upto + 1):
+        count, context = block.counts(n, of, total)
+        a = np.where(context > 0, weights[n][bucket(context)], 0.0)
+        p = a * count / np.maximum(context, 1) + (1 - a) * p
+    return p
+
+
+def _histogram(n: int, total: int, vocabulary: int, weights: dict[int, np.ndarray]):
+    """Of the tokens of deleted blocks: (bucket, step, number, sum of ratios). A ratio is that of c(h w)/c(h) to the
+    probability by shorter n-grams, a step its rounded logarithm."""
+
+    def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, row in blocks.iterrows():
+            block = _opened(row, answers, n, n)
+            count, context = block.counts(n, block.kept, total)
+            some = context > 0
+            low = probabilities(block, block.kept, total, vocabulary, weights, n - 1)[some]
+            ratio = count[some] / context[some] / low
+            with np.errstate(divide="ignore"):
+                step = np.where(ratio > 0, np.rint(STEPS * np.log10(ratio)), NONE).astype(np.int64)
+            cells, at, times = np.unique(np.stack([bucket(context[some]), step], 1), axis=0, return_inverse=True, return_counts=True)
+            out.append(pd.DataFrame({"b": cells[:, 0], "step": cells[:, 1], "n": times, "ratio": np.bincount(at.ravel(), weights=ratio, minlength=len(cells))}))
+        return pd.concat(out) if out else pd.DataFrame({"b": [], "step": [], "n": [], "ratio": []})
 
     return run
 
 
-def learn(cells: pd.DataFrame, uniform: float, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (bucket, component: pair, word, uniform) by expectation-maximisation on the histogram. A
-    bucket without held-out tokens takes the weights learned over all buckets."""
-    weights = np.full((BUCKETS, 3), 1 / 3)
+def learn(cells: pd.DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """The weight of each bucket by expectation-maximisation on the histogram, a cell standing for its mean ratio. A
+    bucket without deleted tokens takes the weight learned over all buckets, and without any tokens the weight is 1/2."""
     if not len(cells):
-        return weights
-    probs = np.stack([*(np.where(cells[c] <= NONE, 0.0, 10.0 ** (np.maximum(cells[c], -6000) / STEPS)) for c in ("q2", "q1")), np.full(len(cells), uniform)], 1)
-    n = cells["n"].to_numpy(np.float64)
+        return np.full(BUCKETS, 0.5)
 
-    def em(p: np.ndarray, count: np.ndarray) -> np.ndarray:
-        a = np.full(3, 1 / 3)
+    def em(ratio: np.ndarray, n: np.ndarray) -> float:
+        a = 0.5
         for _ in range(rounds):
-            share = p * a
-            share /= share.sum(1, keepdims=True)
-            a = (share * count[:, None]).sum(0) + 1e-3
-            a /= a.sum()
+            a = float((n * a * ratio / (a * ratio + 1 - a)).sum() / n.sum())
+            a = min(max(a, 1e-6), 1 - 1e-6)
         return a
 
-    weights[:] = em(probs, n)
-    for b in range(BUCKETS):
-        own = (cells["b"] == b).to_numpy()
-        if own.any():
-            weights[b] = em(probs[own], n[own])
+    b, n = cells["b"].to_numpy(), cells["n"].to_numpy()
+    ratio = cells["ratio"].to_numpy() / n
+    weights = np.full(BUCKETS, em(ratio, n))
+    for k in np.unique(b):
+        weights[k] = em(ratio[b == k], n[b == k])
     return weights
 
 
-def _score(weights: np.ndarray, n: int, v_size: int):
-    def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(block) or not len(answers):
-            return pd.DataFrame({"doc_id": [], "held_out": [], "n_tokens": [], "n_known": [], "train_tokens": [], "base_score": [], "score": []})
-        doc_ids, valid, sizes, w, v, vw = _counts(block, answers, "a1", "a2")
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        a = weights[bucket(v)]
-        p = a[:, 0] * vw / np.maximum(v, 1) + a[:, 1] * w / max(n, 1) + a[:, 2] / (v_size + 1)
-        total = lambda x: np.add.reduceat(x, starts)
-        return pd.DataFrame(
-            {
-                "doc_id": pd.arrays.IntegerArray(doc_ids.copy(), ~valid),
-                "held_out": np.full(len(sizes), block["part"].iloc[0] == OUT),
-                "n_tokens": sizes,
-                "n_known": total((w > 0).astype(np.int64)),
-                "train_tokens": np.full(len(sizes), n, np.int64),
-                "base_score": total(np.log10((w + PRIOR) / (n + PRIOR * (v_size + 1)))),
-                "score": total(np.log10(p)),
-            }
-        )
+def _score(order: int, total: int, vocabulary: int, weights: dict[int, np.ndarray]):
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {c: [] for c in names}
+        for _, row in blocks.iterrows():
+            block = _opened(row, answers, order, order)
+            starts = np.concatenate([[0], np.cumsum(block.sizes)[:-1]])
+            words = block.every[1][block.at[1]]
+            p = probabilities(block, block.every, total, vocabulary, weights, order)
+            sums = [np.add.reduceat(x, starts) for x in ((words > 0).astype(np.int64), np.log10((words + PRIOR) / (total + PRIOR * (vocabulary + 1))), np.log10(p))]
+            k = len(starts)
+            for c, x in zip(names, (from_bytes(row["docs"]), [block.part == OUT] * k, block.sizes, sums[0], [total] * k, sums[1], sums[2])):
+                out[c].extend(x)
+        frame = pd.DataFrame(out)
+        frame["doc_id"] = pd.Series(out["doc_id"], dtype=object)
+        return frame
 
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rest.alias("rest"), "text")
-    blocks = cut(rows.mapInArrow(_pack_blocks(), "block long, part int, docs binary, sizes binary, ids binary, vocab binary"))
-    asked = blocks.mapInArrow(_asks(ranges), "range int, block long, part int, k1 binary, n1 binary, k2 binary, n2 binary")
-    answers = cut(asked.groupBy("range").applyInPandas(_answer, ANSWER))
-    # one row per range; no more than the number of shuffle partitions
-    stats = sum((np.frombuffer(r["a1"], np.int64) for r in answers.where("block = -1").select("a1").collect()), np.zeros(4, np.int64))
-    n, v_size, n_kept, v_kept = map(int, stats)
-    own = answers.where("block >= 0")
-    deleted = blocks.where(F.col("part") == DEL).groupBy("block").cogroup(own.where(F.col("part") == DEL).groupBy("block"))
-    # bounded by buckets times the steps of two log probabilities
-    cells = deleted.applyInPandas(_histogram(max(n_kept, 1)), "b long, q2 long, q1 long, n long").groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")).toPandas().sort_values(["b", "q2", "q1"])
-    weights = learn(cells, 1 / (v_kept + 1))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(_score(weights, n, v_size), schema)
+    rows = docs.select("doc_id", rest.alias("rest"), F.col("text").cast("string").alias("text"))
+    blocks = bucketed(rows.mapInArrow(_pack_blocks(), "block long, part int, tokens long, docs binary, sizes binary, ids binary, vocab binary"), "block", "lm-blocks")
+    tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // RANGE_KEYS))
+    answers = spark.createDataFrame([], ANSWER)
+    for n in range(1, order + 1):
+        asks = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_asks(n, ranges), ASK)
+        answers = answers.unionByName(cut(asks.groupBy("range").applyInPandas(_answer, ANSWER)))
+        forget(spark)
+        if n == 1:  # one row per range
+            stats = sum((np.frombuffer(r["every"], np.int64) for r in answers.where("block = -1").select("every").collect()), np.zeros(4, np.int64))
+            answers = answers.where("block >= 0")
+    total, vocabulary, total_kept, vocabulary_kept = map(int, stats)
+    deleted = blocks.where(F.col("part") == DEL)
+    weights: dict[int, np.ndarray] = {}
+    for n in range(1, order + 1):
+        cells = deleted.groupBy("block").cogroup(answers.where(F.col("length") <= n).groupBy("block")).applyInPandas(_histogram(n, total_kept, vocabulary_kept, dict(weights)), "b long, step long, n long, ratio double")
+        # bounded by buckets times the steps of a logarithm
+        weights[n] = learn(cells.groupBy("b", "step").agg(F.sum("n").alias("n"), F.sum("ratio").alias("ratio")).toPandas().sort_values(["b", "step"]))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(order, total, vocabulary, weights), schema)

@@ -233,3 +233,50 @@ def quality(rows):
         lines = [x for x in text.split("\n") if WORD.search(x)]
         out.append((k, len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(cover), len(ws) < 20 or 100 * len(cover) > 30 * len(ws)))
     return out
+
+
+def lm_scores(rows, order=3, rounds=200):
+    """Score of every row by deleted interpolation: plain dictionaries, expectation-maximisation on the tokens themselves."""
+    seqs = [["<s>", *(w.translate(LOW) for w in WORD.findall(t or "")), "</s>"] for _, t in rows]
+    parts = [zlib.crc32(("" if k is None else str(k)).encode()) % 10 for k, _ in rows]
+
+    def count(of):
+        c = collections.Counter()
+        for q, part in zip(seqs, parts):
+            if part in of:
+                c["<s>",] += 1
+                c.update(tuple(q[j - n + 1 : j + 1]) for j in range(1, len(q)) for n in range(1, order + 1) if j - n + 1 >= 0 and n <= j + 1)
+        words = {k: v for k, v in c.items() if len(k) == 1 and k != ("<s>",)}
+        return c, sum(words.values()), len(words)
+
+    def chain(q, j, c, total, v, weights, upto):
+        """(probability by n-grams up to upto, per length the bucket and the ratio of its estimate to the shorter ones)"""
+        p, seen = 1 / (v + 1), {}
+        for n in range(1, upto + 1):
+            h = tuple(q[j - n + 1 : j]) if n > 1 else None
+            context = total if n == 1 else c[h] if j - n + 1 >= 0 else 0
+            if context:
+                ml, b = c[(*(h or ()), q[j])] / context, int(math.log2(context))
+                seen[n] = b, ml / p
+                if n in weights:
+                    p = weights[n].get(b, weights[n][None]) * ml + (1 - weights[n].get(b, weights[n][None])) * p
+        return p, seen
+
+    def em(ratios):
+        a = 0.5
+        for _ in range(rounds if ratios else 0):
+            a = min(max(sum(a * r / (a * r + 1 - a) for r in ratios) / len(ratios), 1e-6), 1 - 1e-6)
+        return a
+
+    kept, weights = count(set(range(2, 10))), {}
+    for n in range(1, order + 1):
+        found = collections.defaultdict(list)
+        for q, part in zip(seqs, parts):
+            if part == 1:
+                for j in range(1, len(q)):
+                    _, seen = chain(q, j, *kept, weights, n)
+                    if n in seen:
+                        found[seen[n][0]].append(seen[n][1])
+        weights[n] = {None: em([r for x in found.values() for r in x])} | {b: em(x) for b, x in found.items()}
+    every = count(set(range(1, 10)))
+    return [(k, sum(math.log10(chain(q, j, *every, weights, order)[0]) for j in range(1, len(q)))) for (k, _), q in zip(rows, seqs)]

@@ -340,13 +340,38 @@ def test_language_model(docs, empty, rows):
     assert lm_score.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("order, tokens", [(3, 2_000_000), (2, 300), (3, 300), (4, 1000)])
+def test_language_model_scores_are_those_of_a_plain_version(docs, rows, monkeypatch, order, tokens):
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", tokens)  # many blocks: n-grams that one block has alone, and others
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = sorted(((r["doc_id"], r["score"]) for r in lm_score.score(docs, order).collect()), key=key)
+    expected = sorted(brute.lm_scores(rows, order), key=key)
+    assert [k for k, _ in got] == [k for k, _ in expected]
+    assert all(math.isclose(x, y, rel_tol=3e-3) for (_, x), (_, y) in zip(got, expected))
+
+
+def test_language_model_takes_any_id(spark):
+    made = [(f"d{i}", f"the cat number {i} sat") for i in range(30)] + [(None, "the cat")]
+    out = lm_score.score(spark.createDataFrame(made, "doc_id string, text string")).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(k) for k, _ in made)
+
+
+def test_counts_beyond_32_bits():
+    import pandas as pd
+
+    ask = [(1, 0, b, lm_score.TRAIN, lm_score.pack(np.array([77], np.uint64)), lm_score.pack(np.array([3_000_000_000]))) for b in range(2)]
+    out = lm_score._answer(pd.DataFrame(ask, columns=["length", "range", "block", "part", "keys", "counts"]))
+    assert [lm_score.unpack(x, np.int64).tolist() for x in out["every"][:2]] == [[6_000_000_000]] * 2
+    assert np.frombuffer(out["every"][2], np.int64).tolist() == [6_000_000_000, 1, 6_000_000_000, 1]
+    assert lm_score.bucket(np.array([1, 3, 1 << 40])).tolist() == [0, 1, 40]
+
+
 def test_mixture_weights_follow_the_data():
     import pandas as pd
 
-    step = lm_score.STEPS
-    cells = pd.DataFrame({"b": [0, 3], "q2": [lm_score.NONE, -1 * step // 4], "q1": [-2 * step, -4 * step], "n": [1000, 1000]})
-    a = lm_score.learn(cells, 1e-6)
-    assert np.allclose(a.sum(1), 1) and a[0, 1] > 0.9 and a[3, 0] > 0.9
+    cells = pd.DataFrame({"b": [0, 3, 5, 5], "step": [lm_score.NONE, 400, lm_score.NONE, 600], "n": [1000, 1000, 500, 500], "ratio": [0.0, 100.0 * 1000, 0.0, 1000.0 * 500]})
+    a = lm_score.learn(cells)
+    assert a[0] < 0.01 and a[3] > 0.99 and abs(a[5] - 0.5) < 0.01 and 0 < a[9] < 1
 
 
 def test_model_beats_the_base_on_held_out_text(spark):
