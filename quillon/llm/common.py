@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,22 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """Where tasks may put files of their own: the shared folder if it is mounted as a path, else (empty) the folders that
+    the cluster gives Spark's own spills."""
+    url = urlparse(shared_dir(spark))
+    return url.path if url.scheme in ("", "file") else ""
+
+
+def task_folder(root: str) -> tempfile.TemporaryDirectory:
+    """A folder for one task's files, which goes with it."""
+    root = root or os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    if not root:
+        raise ValueError("the shared folder is no mounted path, and SPARK_LOCAL_DIRS is not set")
+    os.makedirs(root, exist_ok=True)
+    return tempfile.TemporaryDirectory(dir=root, prefix="task-")
+
+
 def load_bytes(spark: SparkSession, path: str) -> bytes | None:
     """A small file in whichever file system holds it; None if it is not there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

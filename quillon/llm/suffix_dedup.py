@@ -8,19 +8,24 @@ anywhere else in the corpus goes, judged on the input, never across documents.
 2. A block sends its distinct segments to the shard of their anchors. A shard joins equal segments; where an
    anchor has several different ones, their suffixes are sorted by external induced sorting with common-prefix
    values, and neighbours with `size` bytes in common are repeated.
-3. An anchor with more than HOT occurrences has an unbounded number of different segments (each occurrence
-   has its own surroundings). Its strings are sent one by one as 128-bit fingerprints instead, each once per
-   block, and counted: the same answer without a large group.
+3. An anchor that occurs more than HOT times may have as many different segments (each occurrence has its own
+   surroundings), which one shard would have to hold. Its strings go by their 128-bit BLAKE2 digests instead, each
+   once per block, spread by digest over all shards and counted there. That rests on the digests being free of
+   collisions, and is the one place where strings are not compared themselves.
 4. The answers return to the blocks, which remove the bytes.
 
+Blocks are bucketed by their number and stay where they are. The number of ranges follows the bytes of the corpus
+(RANGE_BYTES of text each), so that a group stays bounded at any size of the input; a shard beyond that, because of its
+anchors, is sorted on disk.
+
 Defined results: a null or empty text has no bytes; texts shorter than `size` keep all; repeated rows repeat
-each other; equal doc_ids are separate documents; an empty table gives an empty table; further columns are
-ignored.
+each other; equal doc_ids are separate documents; doc_id may be of any type; an empty table gives an empty table; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +35,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut
-from quillon.llm.suffix_sort import repeated
+from quillon.llm.common import bucketed, cut, forget, from_bytes, scratch_root, task_folder, to_bytes
+from quillon.llm.suffix_sort import MEMORY_ITEMS, Scratch, repeated
 
 SIZE, GRAM = 200, 64
 #: Occurrences from which an anchor's strings are counted one by one.
-HOT = 500
+HOT = 20_000
+#: Bytes of the corpus to a range of hashes.
+RANGE_BYTES = 48 << 20
 #: Bytes of text in a block; a text is never split.
 BLOCK_BYTES = 3 << 20
 #: Zstandard level of texts, which are written more than once.
@@ -45,8 +52,8 @@ TILE = 1 << 22
 ONCE, AGAIN, MANY = 0, 1, 2
 _G = np.random.default_rng(20_240_501)
 _BYTE = _G.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = [int(x) | 1 for x in _G.integers(1 << 40, 1 << 62, 2)]
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BASE = int(_G.integers(1 << 40, 1 << 62)) | 1
+_POWERS: list[np.ndarray] = []
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -55,23 +62,22 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2^64."""
-    if which not in _POWERS or len(_POWERS[which][0]) < n:
-        out = []
-        for base in (_BASE[which], pow(_BASE[which], -1, 1 << 64)):
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(max(n, 1 << 16), base, np.uint64)
             p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        _POWERS[which] = (out[0], out[1])
-    return _POWERS[which]
+            _POWERS.append(np.cumprod(p, dtype=np.uint64))
+    return _POWERS
 
 
-def grams(b: np.ndarray, n: int, which: int = 0) -> np.ndarray:
+def grams(b: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n bytes from each position on."""
     if len(b) < n:
         return np.empty(0, np.uint64)
-    up, down = _powers(which, len(b) + 1)
+    up, down = _powers(len(b) + 1)
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BYTE[b] * up[: len(b)], out=sums[1:])
     return scramble((sums[n:] - sums[:-n]) * down[: len(b) - n + 1])
@@ -112,7 +118,7 @@ class Block:
     def told(self, classes: np.ndarray, size: int):
         """What the block asks for in the second round. Segments AGAIN: distinct contents, each with the
         anchor, and the segments' index into them. Strings of segments MANY: their starts, distinct
-        fingerprints, and the index."""
+        digests, and the index."""
         kind = classes[self.which]
         again = np.flatnonzero(kind == AGAIN)
         raw, seen, contents, anchors, index = self.data.tobytes(), {}, [], [], []
@@ -126,11 +132,8 @@ class Block:
         many = np.flatnonzero(kind == MANY)
         length = self.lasts[many] - self.starts[many]
         at = np.repeat(self.starts[many] - np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64), length) + np.arange(int(length.sum()))
-        prints = np.empty((len(at), 2), np.uint64)
-        if len(at):
-            for k in range(2):
-                prints[:, k] = grams(self.data, size, k)[at]
-        both = prints.view([("a", np.uint64), ("b", np.uint64)]).ravel()
+        digests = b"".join(hashlib.blake2b(raw[p : p + size], digest_size=16).digest() for p in at.tolist())
+        both = np.frombuffer(digests, [("a", np.uint64), ("b", np.uint64)])
         distinct, where = np.unique(both, return_inverse=True)
         return again, contents, np.array(anchors, np.int64), np.array(index, np.int64), at, distinct, where
 
@@ -159,15 +162,17 @@ def delta(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
-PACKED = "block long, ids binary, text binary, ends binary, starts binary, anchors binary, which binary"
+PACKED = "block long, size long, ids binary, text binary, ends binary, starts binary, anchors binary, which binary"
 
 
 def _pack(size: int, gram: int):
+    names = [c.split()[0] for c in PACKED.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, made = TaskContext.get().partitionId(), 0
-        ids, parts, held = [], [], 0
+        ids, parts, held, kind = [], [], 0, pa.null()
 
         def flush() -> pa.RecordBatch:
             nonlocal made
@@ -175,12 +180,13 @@ def _pack(size: int, gram: int):
             ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
             starts = np.concatenate([s + e - len(p) for (s, _), e, p in zip(found, ends, parts)])
             anchors, which = np.unique(np.concatenate([a for _, a in found]), return_inverse=True)
-            known = np.array([x is not None for x in ids], np.uint8)
-            row = [task << 20 | made, known.tobytes() + np.array([x or 0 for x in ids], np.int64).tobytes(), squeeze(np.concatenate(parts), TEXT_LEVEL), planes(delta(ends)), planes(delta(starts)), planes(delta(anchors)), planes(which.astype(np.uint32))]
+            numbers = [task << 20 | made, held]
+            row = [to_bytes(pa.array(ids, kind)), squeeze(np.concatenate(parts), TEXT_LEVEL), planes(delta(ends)), planes(delta(starts)), planes(delta(anchors)), planes(which.astype(np.uint32))]
             made += 1
-            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], names=["block", "ids", "text", "ends", "starts", "anchors", "which"])
+            return pa.RecordBatch.from_arrays([*[pa.array([x], pa.int64()) for x in numbers], *[pa.array([x], pa.binary()) for x in row]], names=names)
 
         for b in batches:
+            kind = b.column("doc_id").type
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 ids.append(doc_id)
                 parts.append(np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8))
@@ -272,7 +278,7 @@ def _ask_texts(ranges: int, size: int):
     return run
 
 
-def judge(texts: list[bytes], anchors: np.ndarray, counts: np.ndarray, size: int) -> list[np.ndarray]:
+def judge(texts: list[bytes], anchors: np.ndarray, counts: np.ndarray, size: int, root: str, limit: int = MEMORY_ITEMS) -> list[np.ndarray]:
     """Per distinct text: which of its strings of `size` bytes occur again. Texts that occur twice are
     repeated throughout; those that share an anchor with another one are sorted together."""
     out = [np.full(len(t) - size + 1, c > 1) for t, c in zip(texts, counts)]
@@ -280,19 +286,22 @@ def judge(texts: list[bytes], anchors: np.ndarray, counts: np.ndarray, size: int
     pick = np.flatnonzero(many[group] > 1).tolist()
     if not pick:
         return out
-    # bytes of UTF-8 stop at 0xF4: 1 ends each text, 0 ends all
-    parts = [np.append(np.frombuffer(texts[k], np.uint8) + np.uint8(2), np.uint8(1)) for k in pick]
-    whole = np.concatenate([*parts, np.zeros(1, np.uint8)])
-    with tempfile.TemporaryDirectory() as folder:
-        hit = repeated(whole, size, folder)
-    at = 0
-    for k, p in zip(pick, parts):
-        out[k] = out[k] | hit[at : at + len(out[k])]
-        at += len(p)
+    with task_folder(root) as folder:
+        # bytes of UTF-8 stop at 0xF4: 1 ends each text, 0 ends all
+        whole, at = Scratch(folder, limit).array(sum(len(texts[k]) + 1 for k in pick) + 1, np.uint8), 0
+        for k in pick:
+            t = np.frombuffer(texts[k], np.uint8)
+            whole[at : at + len(t)] = t + np.uint8(2)
+            whole[at + len(t)] = 1
+            at += len(t) + 1
+        hit, at = repeated(whole, size, folder, limit), 0
+        for k in pick:
+            out[k] = out[k] | hit[at : at + len(out[k])]
+            at += len(texts[k]) + 1
     return out
 
 
-def _answer_texts(size: int):
+def _answer_texts(size: int, root: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         seen: dict[bytes, int] = {}
         texts, anchors, counts, places = [], [], [], []
@@ -309,7 +318,7 @@ def _answer_texts(size: int):
                 counts[k] += c
                 own.append(k)
             places.append(own)
-        marks = judge(texts, np.array(anchors, np.uint64), np.array(counts, np.int64), size) if texts else []
+        marks = judge(texts, np.array(anchors, np.uint64), np.array(counts, np.int64), size, root) if texts else []
         prints = [unplanes(x, np.uint64).reshape(-1, 2) for x in pdf["prints"]]
         times = [unplanes(x, np.uint32) for x in pdf["times"]]
         both = np.ascontiguousarray(np.concatenate(prints)).view([("a", np.uint64), ("b", np.uint64)]).ravel()
@@ -330,9 +339,7 @@ def _remove(ranges: int, size: int):
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")}
         for _, row in blocks.iterrows():
             block = _open(row, size)
-            n = len(block.ends)
-            known = np.frombuffer(row["ids"][:n], np.uint8)
-            ids = np.frombuffer(row["ids"][n:], np.int64)
+            out["doc_id"] += from_bytes(row["ids"])
             again, contents, which, index, at, prints, where = block.told(_joined(answers, 1), size)
             hit = np.zeros(len(block.data) + 1, bool)
             # answers stand in the order of ranges; bring them back to the order of the block's own lists
@@ -353,15 +360,14 @@ def _remove(ranges: int, size: int):
             step[starts + size] -= 1
             gone = np.cumsum(step)[: len(block.data)] > 0
             raw = block.data
-            for i, (e, s) in enumerate(zip(block.ends.tolist(), [0, *block.ends[:-1].tolist()])):
+            for e, s in zip(block.ends.tolist(), [0, *block.ends[:-1].tolist()]):
                 g = gone[s:e]
-                out["doc_id"].append(int(ids[i]) if known[i] else None)
                 out["n_bytes"].append(e - s)
                 out["n_removed"].append(int(g.sum()))
                 out["n_spans"].append(int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()))
                 out["kept"].append(raw[s:e][~g].tobytes())
         df = pd.DataFrame(out)
-        df["doc_id"] = df["doc_id"].astype("Int64")
+        df["doc_id"] = pd.Series(out["doc_id"], dtype=object)
         return df
 
     return run
@@ -369,14 +375,19 @@ def _remove(ranges: int, size: int):
 
 def remove(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes)."""
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = cut(rows.mapInArrow(_pack(size, gram), PACKED))
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    blocks = bucketed(rows.mapInArrow(_pack(size, gram), PACKED), "block", "suffix-blocks")
+    total = blocks.agg(F.sum("size")).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     asked = blocks.select("block", "anchors", "which").mapInArrow(_ask_anchors(ranges), "range int, block long, keys binary, counts binary")
     first = cut(asked.groupBy("range").applyInPandas(_answer_anchors(hot), ANSWER))
+    forget(spark)
     told = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInPandas(_ask_texts(ranges, size), "range int, block long, keys binary, sizes binary, texts binary, counts binary, prints binary, times binary")
-    second = cut(told.groupBy("range").applyInPandas(_answer_texts(size), ANSWER))
-    return blocks.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInPandas(_remove(ranges, size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    second = cut(told.groupBy("range").applyInPandas(_answer_texts(size, scratch_root(spark)), ANSWER))
+    forget(spark)
+    kept = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
+    return blocks.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInPandas(_remove(ranges, size), kept)
 
 
 def digests(docs: DataFrame, size: int = SIZE) -> DataFrame:

@@ -5,6 +5,8 @@ import base64
 import hashlib
 import math
 import random
+import subprocess
+import sys
 import time
 import zlib
 
@@ -283,14 +285,74 @@ def test_bins_and_one_sort_cut_alike(spark):
 
 def test_suffix_sorter_on_short_strings(tmp_path):
     g = np.random.default_rng(0)
-    for turn in range(150):
+    for turn in range(120):
         t = g.integers(1, 2 + turn % 5, g.integers(1, 150)).astype(np.uint8)
         t = np.append(np.tile(t, 1 + turn % 3), 0).astype(np.uint8)
-        raw, limit = bytes(t), (7, 1000)[turn % 2]
-        assert list(suffix_sort.suffix_array(t.astype(np.uint32), str(tmp_path), limit)) == sorted(range(len(raw)), key=lambda i: raw[i:])
+        raw, limit = bytes(t), (2, 7, 30, 1000)[turn % 4]
+        assert list(suffix_sort.suffix_array(suffix_sort.Scratch(str(tmp_path), limit), t.astype(np.uint32))) == sorted(range(len(raw)), key=lambda i: raw[i:])
         for size in (3, 17):
             seen = [raw[i : i + size] for i in range(len(raw) - size + 1)]
             assert list(suffix_sort.repeated(t, size, str(tmp_path), limit)) == [i < len(seen) and seen.count(seen[i]) > 1 for i in range(len(raw))]
+    assert not list(tmp_path.iterdir())
+
+
+def test_queue_with_many_runs_keeps_order(tmp_path, monkeypatch):
+    monkeypatch.setattr(suffix_sort.Queue, "MANY_RUNS", 4)
+    g = np.random.default_rng(1)
+    queue, pushed = suffix_sort.Queue(suffix_sort.Scratch(str(tmp_path), 10), [np.uint8, np.uint32]), []
+    for i in range(40):
+        keys = g.integers(0, 4, 9).astype(np.uint8)
+        queue.push(keys, np.arange(9 * i, 9 * i + 9))
+        pushed += zip(keys.tolist(), range(9 * i, 9 * i + 9))
+    out = []
+    while (low := queue.least()) is not None:
+        for part in queue.blocks(low):
+            assert len(part[0]) <= 10
+            out += zip(*(c.tolist() for c in part))
+    assert out == sorted(pushed)
+
+
+MEMORY = """
+import sys, tempfile, threading, time
+import numpy as np
+from quillon.llm import suffix_sort
+def now():
+    return next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("RssAnon")) / 1024
+size = int(sys.argv[1])
+g = np.random.default_rng(2)
+text = np.memmap(tempfile.TemporaryFile(), np.uint8, "w+", shape=(size + 1,))
+words = [g.integers(2, 28, g.integers(2, 9)).astype(np.uint8) for _ in range(3000)]
+at = 0
+while at < size:
+    some = np.concatenate([np.append(words[int(k)], 1) for k in g.zipf(1.3, 2000) % 3000])[: size - at]
+    text[at : at + len(some)] = some
+    at += len(some)
+text[size // 2 : size // 2 + 5000] = text[:5000]
+text[size] = 0
+top, done, first = [0.0], threading.Event(), now()
+def watch():
+    while not done.is_set():
+        top[0] = max(top[0], now())
+        time.sleep(0.005)
+thread = threading.Thread(target=watch)
+thread.start()
+with tempfile.TemporaryDirectory() as folder:
+    hits = int(suffix_sort.repeated(text, 200, folder, 100_000).sum())
+done.set()
+thread.join()
+print(top[0] - first, hits)
+"""
+
+
+def test_sorter_needs_no_more_memory_for_a_longer_text():
+    """Anonymous memory above the start at 1, 4 and 16 MB of text with one limit."""
+    got = []
+    for mb in (1, 4, 16):
+        run = subprocess.run([sys.executable, "-c", MEMORY, str(mb << 20)], capture_output=True, text=True, check=True, env={"PYTHONPATH": ":".join(sys.path), "OMP_NUM_THREADS": "1"})
+        used, hits = map(float, run.stdout.split())
+        got.append(used)
+        assert hits >= 2 * (5000 - 199)
+    assert max(got) < 40 and got[2] < 1.5 * got[0] + 5, got
 
 
 @pytest.mark.parametrize("hot", [500, 1])
