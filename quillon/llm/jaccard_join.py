@@ -2,25 +2,27 @@
 
 Candidates share prefix tokens under several global orders of the shingles. In a global order a pair of
 coefficient t or more shares a token among the first n - ceil(t n) + 1 of each side. The first order puts rare
-shingles first (by a count sketch over all documents) and is the join key; pairs that survive it must also
-share prefix tokens under further, seeded orders before the sets themselves are compared.
+shingles first (by a count sketch over all documents) and is the join key. Every class carries its prefixes under
+further, seeded orders with it, as 32 bits of each token (a superset of what the tokens share): a pair must share
+prefix tokens under each of them too, and have signatures that allow the coefficient, before any set is fetched.
 
 Equal sets are one class. Pairs are never listed for a whole group: every list of classes with a common
 token is first joined to one leader. Lists whose members are in one component by then are done; the others
-are compared across components only, so no link between components is lost.
+are compared across components only, so no link between components is lost. A list too long for that is split by
+the prefix tokens of the second order, what is too long still by those of the third, where that saves comparisons.
 
-1. One pass over the texts: set size, class and a fixed-size count sketch.
+1. One pass over the texts: set size, class, signature, prefixes under the further orders, and a fixed-size count
+   sketch. A class is a 64-bit digest; digests that belong to sets of different second digests are replaced.
 2. One pass: prefix tokens by the first order, as compressed blocks by token range; per range the leader of
    each token and its pairs, and the members of longer lists.
-3. Signatures bound what a pair can share. Of the classes still paired the sets are rebuilt from their texts;
+3. Prefixes and signatures drop pairs. Of the classes still paired the sets are rebuilt from their texts;
    pairs are verified; links become components.
-4. Lists that still span components are compared across components, block by block, and what remains is
-   verified the same way.
+4. Lists that still span components are compared across components, and what remains is verified the same way.
 
 Defined results: a null or empty text, or one without words, has no shingles and links with nothing (its
 component is its own doc_id); a null doc_id takes part but never names a component unless all ids in it are
 null; rows of equal doc_id are separate documents; an empty table gives an empty table; further columns are
-ignored by `components` and kept by `keep_one`.
+ignored by `components` and kept by `keep_one`; doc_id may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -28,17 +30,18 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import WordHashes, cut, in_worker
 
 WORDS, PERCENT = 5, 80
-#: Seeds of the further orders.
+#: Seeds of the further orders; their prefixes are the columns p1 and p2.
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Counters of the sketch (a power of two) and the blocks it is merged in.
 COUNTERS, BLOCKS = 1 << 20, 128
@@ -74,8 +77,26 @@ class Shingler:
         return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def class_id(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digests(tokens: np.ndarray) -> tuple[int, int, int]:
+    """Three 64-bit digests of a set: its class, a check of that, and the class in its place where the check fails."""
+    raw = hashlib.blake2b(tokens.tobytes(), digest_size=24).digest()
+    return tuple(int.from_bytes(raw[i : i + 8], "little", signed=True) for i in (0, 8, 16))
+
+
+def class_id(tokens: np.ndarray, shared: frozenset[int] = frozenset()) -> int:
+    """The class of a set; shared: digests that different sets have."""
+    cid, _, other = digests(tokens)
+    return other if cid in shared else cid
+
+
+def further(tokens: np.ndarray, percent: int) -> list[list[int]]:
+    """Per further order the sorted distinct upper halves of the prefix tokens' ranks."""
+    out = []
+    for seed in SEEDS:
+        p = prefix_size(len(tokens), percent) if len(tokens) else 0
+        rank = mix(tokens ^ np.uint64(seed))
+        out.append(np.unique((np.partition(rank, p - 1)[:p] if p else rank) >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist())
+    return out
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -110,42 +131,39 @@ def index_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-2 * percent * n // (100 + percent)) + 1
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT, seeds: tuple[int, ...] = SEEDS) -> bool:
-    """Size filter, shared prefix tokens under each further order, then the exact coefficient."""
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Size filter, then the exact coefficient."""
     n, m = len(a), len(b)
     if not n or not m or 100 * min(n, m) < percent * max(n, m):
         return False
-    for seed in seeds:
-        x, y = mix(a ^ np.uint64(seed)), mix(b ^ np.uint64(seed))
-        p, q = prefix_size(n, percent), prefix_size(m, percent)
-        x, y = np.partition(x, p - 1)[:p], np.partition(y, q - 1)[:q]
-        if not np.intersect1d(x, y, assume_unique=True).size:
-            return False
     both = np.intersect1d(a, b, assume_unique=True).size
     return 100 * both >= percent * (n + m - both)
 
 
+SLIM = "fk long, gk long, cid long, ck long, ak long, n long, sig binary, p1 array<int>, p2 array<int>"
+
+
 def _sizes_and_sketch(n: int, percent: int):
-    """Rows (fk, doc_id, cid, n) of the documents; then rows (block, counts) of the partition's sketch."""
+    """Rows (doc_id and SLIM) of the documents; then rows (block, counts) of the partition's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, sketch, seen = Shingler(n), np.zeros(COUNTERS, np.uint32), False
-        names = ["fk", "doc_id", "cid", "n", "sig", "block", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        names = ["doc_id", *[c.split()[0] for c in SLIM.split(", ")], "block", "counts"]
+        kinds = [pa.null(), *[pa.int64()] * 6, pa.binary(), *[pa.list_(pa.int32())] * 2, pa.int32(), pa.binary()]
         for b in batches:
-            cids, sizes, sigs = [], [], []
+            kinds[0] = b.column("doc_id").type
+            cols: list[list] = [[] for _ in range(7)]
             for text in b.column("text"):
                 tokens = shingle(text.as_py())
                 np.add.at(sketch, (tokens & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                cids.append(class_id(tokens))
-                sizes.append(len(tokens))
-                sigs.append(signature(tokens))
-            seen = seen or any(sizes)
-            none = [pa.nulls(len(cids), k) for k in kinds[5:]]
-            yield pa.RecordBatch.from_arrays([b.column("fk"), b.column("doc_id").cast(pa.int64()), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), *none], names=names)
+                for c, x in zip(cols, (*digests(tokens), len(tokens), signature(tokens), *further(tokens, percent))):
+                    c.append(x)
+            seen = seen or any(cols[3])
+            none = [pa.nulls(b.num_rows, k) for k in kinds[10:]]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("fk"), b.column("gk"), *[pa.array(c, k) for c, k in zip(cols, kinds[3:10])], *none], names=names)
         if seen:
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, BLOCKS)]
-            none = [pa.nulls(BLOCKS, k) for k in kinds[:5]]
+            none = [pa.nulls(BLOCKS, k) for k in kinds[:10]]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run
@@ -159,7 +177,7 @@ def _sum_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "level": [level.tobytes()]})
 
 
-def _postings(n: int, percent: int, level, ranges: int):
+def _postings(n: int, percent: int, level, ranges: int, shared: frozenset[int]):
     """Rows (range, block of postings): token, class, set size and centrality of every prefix token. Of the
     copies in a partition one goes on."""
 
@@ -182,7 +200,7 @@ def _postings(n: int, percent: int, level, ranges: int):
         for b in batches:
             for text in b.column("text"):
                 tokens = shingle(text.as_py())
-                if not len(tokens) or (cid := class_id(tokens)) in known:
+                if not len(tokens) or (cid := class_id(tokens, shared)) in known:
                     continue
                 known.add(cid)
                 w = weights[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
@@ -248,20 +266,30 @@ def _pairs(percent: int):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, shared: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for b in batches:
             got = [shingle(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([class_id(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], names=["cid", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([class_id(x, shared) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], names=["cid", "tokens"])
 
     return run
 
 
-def _bounded(percent: int):
+def may_pair(a: tuple, b: tuple, percent: int = PERCENT) -> bool:
+    """Whether two classes (set size, signature, prefixes under the further orders) pass all filters: size, a
+    shared prefix token under each order, signature."""
+    (n, sa, *pa_), (m, sb, *pb) = a, b
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    return all(not x.isdisjoint(y) for x, y in zip(pa_, pb)) and may_link(sa, sb, n, m, percent)
+
+
+def _filtered(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = pa.array([may_link(*x, percent) for x in zip(*[b.column(c).to_pylist() for c in ("sa", "sb", "na", "nb")])], pa.bool_())
+            sides = [[(n, s, frozenset(p), frozenset(q)) for n, s, p, q in zip(*[b.column(f"{c}{x}").to_pylist() for c in ("n", "sig", "p1", "p2")])] for x in "ab"]
+            keep = pa.array([may_pair(x, y, percent) for x, y in zip(*sides)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
     return run
@@ -277,47 +305,72 @@ def _verify(percent: int):
     return run
 
 
-def verified(texts: DataFrame, slim: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs that link. Signatures drop the pairs that cannot; of each class of the others one text is
+def verified(texts: DataFrame, slim: DataFrame, pairs: DataFrame, n: int, percent: int, shared: frozenset[int]) -> DataFrame:
+    """The pairs that link. The filters drop the pairs that cannot; of each class of the others one text is
     fetched by its key and its set rebuilt. Up to KEY_ROWS keys are broadcast, beyond that texts are shuffled."""
     about = slim.join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "cid", "left_semi")
-    about = cut(about.groupBy("cid").agg(F.min(F.struct("fk", "n", "sig")).alias("x")).select("cid", "x.*"))
-    sides = [about.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab"]
-    pairs = cut(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_bounded(percent), LINKS))
+    about = cut(about.groupBy("cid").agg(F.min(F.struct("fk", "n", "sig", "p1", "p2")).alias("x")).select("cid", "x.*"))
+    sides = [about.select(F.col("cid").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("n", "sig", "p1", "p2")]) for c in "ab"]
+    pairs = cut(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_filtered(percent), LINKS))
     keys = cut(about.join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "cid", "left_semi").select(F.col("fk").alias("k")).distinct())
     few = keys.limit(KEY_ROWS + 1).count() <= KEY_ROWS
     some = texts.join(F.broadcast(keys) if few else keys, F.col("fk") == F.col("k"), "left_semi").select("text")
-    sets = cut(some.mapInArrow(_sets(n), "cid long, tokens binary"))
+    sets = cut(some.mapInArrow(_sets(n, shared), "cid long, tokens binary"))
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b")
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), LINKS).distinct())
 
 
-def _across(rows: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list, of different components, that sizes and signatures allow. rows: token, cid, early,
-    comp, size of the list. A list of more than LIST_BLOCK classes is cut into blocks of about that size; a list, or
-    two blocks of one, are compared inside a task, which returns the pairs that remain."""
-    about = slim.join(rows.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("n", "sig")).alias("x")).select("cid", "x.n", "x.sig")
-    item = F.struct("cid", "comp", "n", "sig", "early")
-    full = rows.join(about, "cid")
-    whole = full.where(F.col("size") <= LIST_BLOCK).groupBy("token").agg(F.collect_list(item).alias("items")).select("items", F.col("items").alias("others"))
+def _spanning(members: DataFrame) -> DataFrame:
+    """members (token, cid, early, comp) of the lists that span components, with the list's size; of lists with the
+    same members one is enough."""
+    sums = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(cid, early))").alias("x"), F.expr("bit_xor(xxhash64(cid, early, 1))").alias("y"))
+    some = sums.where("lo <> hi").groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token", "size")
+    return cut(members.join(some, "token"))
+
+
+def _across(members: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one list, of different components, that pass the filters. members: token, cid, early, comp. Lists up to
+    LIST_BLOCK classes are compared inside a task. A longer one is split by the prefix tokens under the second order, which
+    two linked classes share too, and then under the third, wherever that leaves less to compare. Other long lists are cut
+    into blocks, two of which are compared inside a task."""
+    rows = _spanning(members)
+    about = slim.join(rows.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("n", "sig", "p1", "p2")).alias("x"))
+    about = cut(about.select("cid", "x.*"))
+    short, long = [], []
+    for prefix in ("p1", "p2"):
+        short.append(rows.where(F.col("size") <= LIST_BLOCK))
+        rows = rows.where(F.col("size") > LIST_BLOCK)
+        if not rows.limit(1).count():
+            break
+        tokens = about.select("cid", F.explode(prefix).alias("t"))
+        split = cut(rows.withColumnsRenamed({"token": "list", "size": "of"}).join(tokens, "cid").withColumn("token", F.xxhash64("list", "t")))
+        parts = split.groupBy("list", "of", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+        work = cut(parts.groupBy("list").agg((2 * F.sum(F.col("size") * F.col("size")) < F.first("of") * F.first("of")).alias("less")))
+        long.append(rows.join(work.where("not less").select(F.col("list").alias("token")), "token", "left_semi"))
+        rows = _spanning(split.join(work.where("less").select("list"), "list", "left_semi").select("token", "cid", "early", "comp"))
+    short.append(rows.where(F.col("size") <= LIST_BLOCK))
+    rows = reduce(DataFrame.unionByName, [*long, rows.where(F.col("size") > LIST_BLOCK)])
+    item = F.struct("cid", "comp", "n", "sig", "early", "p1", "p2")
+    whole = reduce(DataFrame.unionByName, short).join(about, "cid").groupBy("token").agg(F.collect_list(item).alias("items")).select("items", F.col("items").alias("others"))
     part = F.pmod(F.xxhash64("cid", F.lit(2)), F.ceil(F.col("size") / LIST_BLOCK)).alias("part")
-    blocks = cut(full.where(F.col("size") > LIST_BLOCK).groupBy("token", part).agg(F.collect_list(item).alias("items")))
+    blocks = cut(rows.join(about, "cid").groupBy("token", part).agg(F.collect_list(item).alias("items")))
     other = blocks.select(F.col("token").alias("t"), F.col("part").alias("p"), F.col("items").alias("others"))
     both = whole.union(blocks.join(other, (F.col("token") == F.col("t")) & (F.col("part") <= F.col("p"))).select("items", "others"))
 
     def columns(items: pa.ListScalar) -> tuple:
         x = items.values.flatten()
-        return x[0].to_numpy(), x[1].to_numpy(), x[2].to_numpy(), x[3].to_pylist(), x[4].to_numpy(zero_copy_only=False)
+        sides = [(n, s, frozenset(p), frozenset(q)) for n, s, p, q in zip(*[x[i].to_pylist() for i in (2, 3, 5, 6)])]
+        return x[0].to_numpy(), x[1].to_numpy(), x[2].to_numpy(), x[4].to_numpy(zero_copy_only=False), sides
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for x, y in zip(b.column("items"), b.column("others")):
-                (ca, ka, na, sa, ea), (cb, kb, nb, sb, eb) = columns(x), columns(y)
+                (ca, ka, na, ea, sa), (cb, kb, nb, eb, sb) = columns(x), columns(y)
                 fit = (ka[:, None] != kb[None]) & (100 * np.minimum(na[:, None], nb[None]) >= percent * np.maximum(na[:, None], nb[None]))
                 fit &= _met(na[:, None], ea[:, None], nb[None], eb[None])
-                out += [(min(ca[i], cb[j]), max(ca[i], cb[j])) for i, j in np.argwhere(fit).tolist() if may_link(sa[i], sb[j], int(na[i]), int(nb[j]), percent)]
+                out += [(min(ca[i], cb[j]), max(ca[i], cb[j])) for i, j in np.argwhere(fit).tolist() if may_pair(sa[i], sb[j], percent)]
             pairs = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -340,30 +393,41 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _shared(rows: DataFrame) -> frozenset[int]:
+    """Digests that sets of different second digests have: about n^2 / 2^65 of n classes, which are collected."""
+    found = rows.where("n > 0").groupBy("cid").agg(F.min("ck").alias("lo"), F.max("ck").alias("hi")).where("lo <> hi").select("cid")
+    return frozenset(r["cid"] for r in found.collect())
+
+
 def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(slim: fk, doc_id, cid, n of every row; comps: cid, comp of every linked class)."""
+    """(slim: doc_id, fk, gk, cid, n of every row; comps: cid, comp of every linked class)."""
     spark: SparkSession = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("fk"))
-    first = cut(texts.mapInArrow(_sizes_and_sketch(n, percent), "fk long, doc_id long, cid long, n long, sig binary, block int, counts binary"))
-    slim = first.where("block is null").select("fk", "doc_id", "cid", "n", "sig")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), *_keys(F.col("doc_id"), F.col("text")))
+    first = cut(texts.mapInArrow(_sizes_and_sketch(n, percent), f"doc_id {kind}, {SLIM}, block int, counts binary"))
+    rows = first.where("block is null").select("doc_id", *[c.split()[0] for c in SLIM.split(", ")])
+    shared = _shared(rows)
+    slim = (rows.withColumn("cid", F.when(F.col("cid").isin(list(shared)), F.col("ak")).otherwise(F.col("cid"))) if shared else rows).drop("ck", "ak")
     merged = {r["block"]: bytes(r["level"]) for r in first.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(_sum_blocks, "block int, level binary").collect()}  # BLOCKS rows, COUNTERS bytes in all
     level = spark.sparkContext.broadcast(b"".join(merged.get(i, bytes(COUNTERS // BLOCKS)) for i in range(BLOCKS)))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(texts.select("text").mapInArrow(_postings(n, percent, level, ranges), "range int, block binary").groupBy("range").applyInPandas(_pairs(percent), "kind int, a long, b long, early boolean"))
+    found = cut(texts.select("text").mapInArrow(_postings(n, percent, level, ranges, shared), "range int, block binary").groupBy("range").applyInPandas(_pairs(percent), "kind int, a long, b long, early boolean"))
     pairs = cut(found.where("kind = 0").select("a", "b").distinct())
-    links = verified(texts, slim, pairs, n, percent)
+    links = verified(texts, slim, pairs, n, percent, shared)
     comps = connected(links)
-    # lists of three or more that span components: of lists with the same members one is enough
     lists = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), "early")
     members = cut(lists.join(comps, "cid", "left").select("token", "cid", "early", F.coalesce("comp", "cid").alias("comp")))
-    sums = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(cid, early))").alias("x"), F.expr("bit_xor(xxhash64(cid, early, 1))").alias("y"))
-    some = cut(sums.where("lo <> hi").groupBy("size", "x", "y").agg(F.min("token").alias("token")).select("token", "size"))
-    cross = cut(_across(members.join(some, "token"), slim, percent).distinct().join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti"))
+    cross = cut(_across(members, slim, percent).distinct().join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti"))
     if cross.limit(1).count():
-        comps = connected(links.union(verified(texts, slim, cross, n, percent)))
+        comps = connected(links.union(verified(texts, slim, cross, n, percent, shared)))
     return slim, comps
 
 
+def _keys(doc_id: Column, text: Column) -> list[Column]:
+    """128 bits that stand for a row."""
+    return [F.xxhash64(doc_id, text).alias("fk"), F.xxhash64(F.lit(1), doc_id, text).alias("gk")]
+
+
 def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     slim, comps = classes(docs, n, percent)
@@ -379,9 +443,11 @@ def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFra
     """docs without all but one document of each component: the smallest doc_id stays (null last). Documents
     without shingles stay."""
     slim, comps = classes(docs, n, percent)
-    sums = slim.where("n > 0").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "fk")).alias("best"))
+    sums = slim.where("n > 0").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "fk", "gk")).alias("best"))
     best = sums.join(comps, "cid", "left").groupBy(F.coalesce("comp", "cid")).agg(F.min("best").alias("best"))
-    keys = cut(best.select(F.col("best.fk").alias("_k"), F.lit(True).alias("_one")).union(slim.where("n = 0").select("fk", F.lit(False))).distinct())
-    joined = docs.withColumn("_fk", F.xxhash64(F.col("doc_id"), F.col("text"))).join(keys, F.col("_fk") == F.col("_k"))
-    kept = joined.where("not _one").unionByName(joined.where("_one").dropDuplicates(["_fk"]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = cut(best.select(F.col("best.fk").alias("_k"), F.col("best.gk").alias("_l"), F.lit(True).alias("_one")).union(slim.where("n = 0").select("fk", "gk", F.lit(False))).distinct())
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    held = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in own.items()], *_keys(F.col("doc_id"), F.col("text")))
+    joined = held.join(keys, (F.col("fk") == F.col("_k")) & (F.col("gk") == F.col("_l")))
+    kept = joined.where("not _one").unionByName(joined.where("_one").dropDuplicates(["fk", "gk"]))
+    return kept.select(*[F.col(x).alias(c) for c, x in own.items()])

@@ -459,7 +459,7 @@ def test_jaccard_join(docs, empty, rows):
     assert kept.count() == sum(k == c for k, _, c in comps)
 
 
-@pytest.mark.parametrize("block", [16, 256])
+@pytest.mark.parametrize("block", [60, 256])
 def test_jaccard_join_of_a_large_loose_group(spark, monkeypatch, block):
     """Variants of one text around the threshold: chains of links, and many pairs just under it."""
     monkeypatch.setattr(jaccard_join, "LIST_BLOCK", block)
@@ -474,15 +474,39 @@ def test_jaccard_join_of_a_large_loose_group(spark, monkeypatch, block):
     same(jaccard_join.components(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect(), brute.components(made))
 
 
+def test_jaccard_join_takes_any_id(spark):
+    made = [("b", "one two three four five six"), ("a", "One two three four five six"), (None, "x"), ("c", "")]
+    out = jaccard_join.components(spark.createDataFrame(made, "doc_id string, text string"))
+    same([tuple(r) for r in out.collect()], [("b", 2, "a"), ("a", 2, "a"), (None, 1, None), ("c", 0, "c")])
+
+
+def test_equal_digests_of_different_sets_are_no_class(spark, docs, rows, monkeypatch):
+    """With digests of six bits most classes collide; checks and second digests keep them apart."""
+    whole = jaccard_join.digests
+    small = lambda t: (whole(t)[0] & 63, *whole(t)[1:])
+    monkeypatch.setattr(jaccard_join, "digests", small)
+    monkeypatch.setattr(jaccard_join, "class_id", lambda t, shared=frozenset(): small(t)[2 if small(t)[0] in shared else 0])
+    same(jaccard_join.components(docs).collect(), brute.components(rows))
+
+
 def test_filters_never_drop_a_link():
     g = np.random.default_rng(4)
-    for _ in range(300):
+    about = lambda x: (len(x), jaccard_join.signature(x), *map(frozenset, jaccard_join.further(x, 80)))
+    dropped = [0, 0]
+    for _ in range(400):
         a = np.unique(g.integers(0, 1 << 63, g.integers(1, 300), dtype=np.uint64))
-        b = np.unique(np.concatenate([a[g.random(len(a)) < 0.9], g.integers(0, 1 << 63, g.integers(0, 40), dtype=np.uint64)]))
+        b = np.unique(np.concatenate([a[g.random(len(a)) < g.choice([0.1, 0.9, 0.95])], g.integers(0, 1 << 63, g.integers(0, 40), dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
         link = len(b) > 0 and 100 * both >= 80 * (len(a) + len(b) - both)
         assert jaccard_join.linked(a, b) == link
-        assert not link or jaccard_join.may_link(jaccard_join.signature(a), jaccard_join.signature(b), len(a), len(b))
+        if len(b):
+            x, y = about(a), about(b)
+            assert not link or jaccard_join.may_pair(x, y)
+            orders = [not p.isdisjoint(q) for p, q in zip(x[2:], y[2:])]
+            assert not link or all(orders)
+            dropped[0] += not all(orders)
+            dropped[1] += orders[0] and not orders[1]
+    assert min(dropped) > 0  # the orders drop pairs, and the second what the first lets pass
 
 
 def test_archives(spark, tmp_path):
