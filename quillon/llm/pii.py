@@ -36,8 +36,8 @@ from quillon.llm.common import load_bytes, save_bytes, shared_dir
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
 #: Characters of a window, and from one to the next; a span of up to their difference lies whole in a window.
-WINDOW, STRIDE = 256, 192
-HIDDEN, BATCH = 16, 512
+WINDOW, STRIDE = 512, 448
+HIDDEN, BATCH = 16, 256
 #: Least margin of a span of the network over no span, in natural logarithms.
 MARGIN = 2.0
 #: Labelled windows for training, their length, rounds and seed.
@@ -122,11 +122,11 @@ def _states(p: dict, x: np.ndarray, keep: list | None = None) -> np.ndarray:
     half = np.array([0.5, 0.5, 0.5, 1.0], kind)[:, None, None, None]  # a sigmoid is a tanh of half its argument
     table = (_by_gate(p["W"] + p["c"][:, None]) * half).reshape(-1, n)
     turn = _by_gate(p["U"]) * half
-    rows = np.arange(8).reshape(4, 2, 1) * CLASSES
+    rows, both = np.arange(8).reshape(4, 2, 1) * CLASSES, np.stack([x, x[::-1]], 1)
     h, c, z, add = np.zeros((2, b, n), kind), np.zeros((2, b, n), kind), np.empty((4, 2, b, n), kind), np.empty((4, 2, b, n), kind)
     hs = np.empty((t, b, 2 * n), kind)
     for i in range(t):
-        np.take(table, rows + np.stack([x[i], x[t - 1 - i]]), axis=0, out=z, mode="clip")
+        np.take(table, rows + both[i], axis=0, out=z, mode="clip")
         np.matmul(h, turn, out=add)
         z += add
         np.tanh(z, out=z)
@@ -160,8 +160,9 @@ def _by_way(x: np.ndarray) -> np.ndarray:
 
 def emissions(p: dict, x: np.ndarray) -> np.ndarray:
     """x: classes (B, T); scores (B, T, LABELS)."""
-    hs = _states(p, np.ascontiguousarray(x.T, np.intp))
-    return (hs @ p["V"] + p["d"]).transpose(1, 0, 2)
+    xt = np.ascontiguousarray(x.T, np.intp)
+    flat = _states(p, xt).reshape(xt.size, -1) @ p["V"] + p["d"]
+    return np.ascontiguousarray(flat.T).reshape(LABELS, *xt.shape).transpose(2, 1, 0)  # a label's scores stand together
 
 
 def _step(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
@@ -247,13 +248,19 @@ def certain(p: dict, e: np.ndarray) -> np.ndarray:
     merged into one, whose scores and transitions are their greatest, and even so no run of it gains on none."""
     a = p["A"] - p["A"][0, 0]
     enter, leave, stay = float(a[0, 1:].max()), float(a[1:, 0].max()), float(a[1:, 1:].max())
-    sums = np.cumsum(e[:, :, 1:].max(2) - e[:, :, 0] + np.float32(stay), axis=1)
+    e = e.transpose(2, 1, 0)  # label, place, window: as `emissions` lays them out
+    best = np.maximum(e[1], e[2])
+    for label in e[3:]:
+        np.maximum(best, label, out=best)
+    best -= e[0]
+    best += np.float32(stay)
+    sums = np.cumsum(best, axis=0)
     # a run from i to j gains sums[j] - sums[i - 1] - stay, and the transitions into and out of it
     start = np.empty_like(sums)
-    start[:, 0], start[:, 1:] = 0.0, enter - sums[:, :-1]
-    gain = sums + np.maximum.accumulate(start, axis=1) - stay
-    gain[:, :-1] += leave
-    return gain.max(1) < -1e-2  # more than rounding
+    start[0], start[1:] = 0.0, enter - sums[:-1]
+    gain = sums + np.maximum.accumulate(start, axis=0) - stay
+    gain[:-1] += leave
+    return gain.max(0) < -1e-2  # more than rounding
 
 
 def decoded(p: dict, x: np.ndarray) -> list[list[tuple[int, int, int, float]]]:
