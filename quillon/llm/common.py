@@ -11,7 +11,6 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,24 +162,38 @@ def in_worker(key, make: Callable):
     return _HELD[key]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), made as they are asked for and kept up to `limit` words."""
-
-    def __init__(self, limit: int = 500_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Hashes of a text's words. bytes.lower() and bytes.split() touch ASCII alone: A-Z, and 0x20 with
-        0x09-0x0D."""
-        if len(self) > self.limit:
-            self.clear()
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_SEED = np.random.default_rng(20_240_607)
+_BYTE = _SEED.integers(0, 1 << 64, 256, dtype=np.uint64)
+_POWER = np.ones(1 << 12, np.uint64)
+_SPACE = np.isin(np.arange(256), (0x20, *range(0x09, 0x0E)))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words, in order: polynomials over a random number per byte. bytes.lower() touches A-Z
+    alone, and words are what lies between 0x20 and 0x09-0x0D."""
+    global _POWER
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+    inside = ~_SPACE[raw]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    lengths = edges[1::2] - edges[::2]
+    if not len(lengths):
+        return np.empty(0, np.uint64)
+    longest = int(lengths.max())
+    if longest > len(_POWER):
+        _POWER = np.ones(2 * longest, np.uint64)
+    if _POWER[-1] == 1:
+        _POWER[1:] = 0x9E3779B97F4A7C15
+        np.cumprod(_POWER, out=_POWER)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    return mix(np.add.reduceat(_BYTE[raw[inside]] * _POWER[place], first) + lengths.astype(np.uint64))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -8,8 +8,7 @@ prefix tokens under each of them too, and have signatures that allow the coeffic
 
 Equal sets are one class. Pairs are never listed for a whole group: every list of classes with a common
 token is first joined to one leader. Lists whose members are in one component by then are done; the others
-are compared across components only, so no link between components is lost. A list too long for that is split by
-the prefix tokens of the second order, what is too long still by those of the third, where that saves comparisons.
+are compared across components only, so no link between components is lost.
 
 1. One pass over the texts: set size, class, signature, prefixes under the further orders, and a fixed-size count
    sketch. A class is a 64-bit digest; digests that belong to sets of different second digests are replaced.
@@ -27,10 +26,10 @@ ignored by `components` and kept by `keep_one`; doc_id may be of any type that h
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WordHashes, cut, in_worker
+from quillon.llm.common import cut, mix, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: Seeds of the further orders; their prefixes are the columns p1 and p2.
@@ -52,21 +51,14 @@ LIST_BLOCK = 256
 KEY_ROWS = 1_000_000
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingler:
     """Sorted distinct 64-bit hashes of the word shingles of a text."""
 
     def __init__(self, n: int = WORDS):
-        self.n, self.words = n, in_worker("words", WordHashes)
+        self.n = n
 
     def __call__(self, text: str | None) -> np.ndarray:
-        h = self.words.of(text)
+        h = word_hashes(text)
         if not len(h):
             return h
         k = min(self.n, len(h))
@@ -89,13 +81,13 @@ def class_id(tokens: np.ndarray, shared: frozenset[int] = frozenset()) -> int:
     return other if cid in shared else cid
 
 
-def further(tokens: np.ndarray, percent: int) -> list[list[int]]:
+def further(tokens: np.ndarray, percent: int) -> list[bytes]:
     """Per further order the sorted distinct upper halves of the prefix tokens' ranks."""
     out = []
     for seed in SEEDS:
         p = prefix_size(len(tokens), percent) if len(tokens) else 0
         rank = mix(tokens ^ np.uint64(seed))
-        out.append(np.unique((np.partition(rank, p - 1)[:p] if p else rank) >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist())
+        out.append(np.unique((np.partition(rank, p - 1)[:p] if p else rank) >> np.uint64(32)).astype(np.uint32).tobytes())
     return out
 
 
@@ -140,7 +132,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (n + m - both)
 
 
-SLIM = "fk long, gk long, cid long, ck long, ak long, n long, sig binary, p1 array<int>, p2 array<int>"
+SLIM = "fk long, gk long, cid long, ck long, ak long, n long, sig binary, p1 binary, p2 binary"
 
 
 def _sizes_and_sketch(n: int, percent: int):
@@ -149,7 +141,7 @@ def _sizes_and_sketch(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, sketch, seen = Shingler(n), np.zeros(COUNTERS, np.uint32), False
         names = ["doc_id", *[c.split()[0] for c in SLIM.split(", ")], "block", "counts"]
-        kinds = [pa.null(), *[pa.int64()] * 6, pa.binary(), *[pa.list_(pa.int32())] * 2, pa.int32(), pa.binary()]
+        kinds = [pa.null(), *[pa.int64()] * 6, *[pa.binary()] * 3, pa.int32(), pa.binary()]
         for b in batches:
             kinds[0] = b.column("doc_id").type
             cols: list[list] = [[] for _ in range(7)]
@@ -276,20 +268,29 @@ def _sets(n: int, shared: frozenset[int]):
     return run
 
 
-def may_pair(a: tuple, b: tuple, percent: int = PERCENT) -> bool:
-    """Whether two classes (set size, signature, prefixes under the further orders) pass all filters: size, a
-    shared prefix token under each order, signature."""
-    (n, sa, *pa_), (m, sb, *pb) = a, b
-    if 100 * min(n, m) < percent * max(n, m):
-        return False
-    return all(not x.isdisjoint(y) for x, y in zip(pa_, pb)) and may_link(sa, sb, n, m, percent)
+class Filters:
+    """What the filters need of a class: set size, signature, prefixes under the further orders."""
+
+    def __init__(self, n: int, sig: bytes, *prefixes: bytes):
+        self.n, self.sig, self.raw = n, sig, prefixes
+
+    @functools.cached_property
+    def prefixes(self) -> list[frozenset]:
+        return [frozenset(np.frombuffer(x, np.uint32).tolist()) for x in self.raw]
+
+    def may_pair(self, other: Filters, percent: int = PERCENT) -> bool:
+        """Whether two classes pass all filters: size, signature, a shared prefix token under each order."""
+        n, m = self.n, other.n
+        if 100 * min(n, m) < percent * max(n, m) or not may_link(self.sig, other.sig, n, m, percent):
+            return False
+        return all(not x.isdisjoint(y) for x, y in zip(self.prefixes, other.prefixes))
 
 
 def _filtered(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sides = [[(n, s, frozenset(p), frozenset(q)) for n, s, p, q in zip(*[b.column(f"{c}{x}").to_pylist() for c in ("n", "sig", "p1", "p2")])] for x in "ab"]
-            keep = pa.array([may_pair(x, y, percent) for x, y in zip(*sides)], pa.bool_())
+            sides = [[Filters(*x) for x in zip(*[b.column(f"{c}{side}").to_pylist() for c in ("n", "sig", "p1", "p2")])] for side in "ab"]
+            keep = pa.array([x.may_pair(y, percent) for x, y in zip(*sides)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
     return run
@@ -331,36 +332,21 @@ def _spanning(members: DataFrame) -> DataFrame:
 
 def _across(members: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
     """Pairs of one list, of different components, that pass the filters. members: token, cid, early, comp. Lists up to
-    LIST_BLOCK classes are compared inside a task. A longer one is split by the prefix tokens under the second order, which
-    two linked classes share too, and then under the third, wherever that leaves less to compare. Other long lists are cut
-    into blocks, two of which are compared inside a task."""
+    LIST_BLOCK classes are compared inside a task; a longer one is cut into blocks, two of which are compared inside a
+    task."""
     rows = _spanning(members)
     about = slim.join(rows.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("n", "sig", "p1", "p2")).alias("x"))
-    about = cut(about.select("cid", "x.*"))
-    short, long = [], []
-    for prefix in ("p1", "p2"):
-        short.append(rows.where(F.col("size") <= LIST_BLOCK))
-        rows = rows.where(F.col("size") > LIST_BLOCK)
-        if not rows.limit(1).count():
-            break
-        tokens = about.select("cid", F.explode(prefix).alias("t"))
-        split = cut(rows.withColumnsRenamed({"token": "list", "size": "of"}).join(tokens, "cid").withColumn("token", F.xxhash64("list", "t")))
-        parts = split.groupBy("list", "of", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-        work = cut(parts.groupBy("list").agg((2 * F.sum(F.col("size") * F.col("size")) < F.first("of") * F.first("of")).alias("less")))
-        long.append(rows.join(work.where("not less").select(F.col("list").alias("token")), "token", "left_semi"))
-        rows = _spanning(split.join(work.where("less").select("list"), "list", "left_semi").select("token", "cid", "early", "comp"))
-    short.append(rows.where(F.col("size") <= LIST_BLOCK))
-    rows = reduce(DataFrame.unionByName, [*long, rows.where(F.col("size") > LIST_BLOCK)])
+    full = rows.join(about.select("cid", "x.*"), "cid")
     item = F.struct("cid", "comp", "n", "sig", "early", "p1", "p2")
-    whole = reduce(DataFrame.unionByName, short).join(about, "cid").groupBy("token").agg(F.collect_list(item).alias("items")).select("items", F.col("items").alias("others"))
+    whole = full.where(F.col("size") <= LIST_BLOCK).groupBy("token").agg(F.collect_list(item).alias("items")).select("items", F.col("items").alias("others"))
     part = F.pmod(F.xxhash64("cid", F.lit(2)), F.ceil(F.col("size") / LIST_BLOCK)).alias("part")
-    blocks = cut(rows.join(about, "cid").groupBy("token", part).agg(F.collect_list(item).alias("items")))
+    blocks = cut(full.where(F.col("size") > LIST_BLOCK).groupBy("token", part).agg(F.collect_list(item).alias("items")))
     other = blocks.select(F.col("token").alias("t"), F.col("part").alias("p"), F.col("items").alias("others"))
     both = whole.union(blocks.join(other, (F.col("token") == F.col("t")) & (F.col("part") <= F.col("p"))).select("items", "others"))
 
     def columns(items: pa.ListScalar) -> tuple:
         x = items.values.flatten()
-        sides = [(n, s, frozenset(p), frozenset(q)) for n, s, p, q in zip(*[x[i].to_pylist() for i in (2, 3, 5, 6)])]
+        sides = [Filters(*y) for y in zip(*[x[i].to_pylist() for i in (2, 3, 5, 6)])]
         return x[0].to_numpy(), x[1].to_numpy(), x[2].to_numpy(), x[4].to_numpy(zero_copy_only=False), sides
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +356,7 @@ def _across(members: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
                 (ca, ka, na, ea, sa), (cb, kb, nb, eb, sb) = columns(x), columns(y)
                 fit = (ka[:, None] != kb[None]) & (100 * np.minimum(na[:, None], nb[None]) >= percent * np.maximum(na[:, None], nb[None]))
                 fit &= _met(na[:, None], ea[:, None], nb[None], eb[None])
-                out += [(min(ca[i], cb[j]), max(ca[i], cb[j])) for i, j in np.argwhere(fit).tolist() if may_pair(sa[i], sb[j], percent)]
+                out += [(min(ca[i], cb[j]), max(ca[i], cb[j])) for i, j in np.argwhere(fit).tolist() if sa[i].may_pair(sb[j], percent)]
             pairs = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 

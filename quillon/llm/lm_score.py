@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WordHashes, bucketed, cut, forget, from_bytes, in_worker, to_bytes
+from quillon.llm.common import bucketed, cut, forget, from_bytes, to_bytes, word_hashes
 
 #: Documents with this remainder (modulo FOLDS) are held out; those with DELETED train the weights.
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
 PRIOR, ORDER = 0.1, 3
 #: Tokens of a block, and keys of a range of hashes.
-BLOCK_TOKENS, RANGE_KEYS = 2_000_000, 4_000_000
+BLOCK_TOKENS, RANGE_KEYS = 1_500_000, 4_000_000
 #: Context buckets (powers of two of 64-bit counts), steps per power of ten of the histogram that EM runs on, its rounds.
 BUCKETS, STEPS, ROUNDS = 64, 200, 200
 END, START = np.uint64(0x5EED0E4D), np.uint64(0x5EED057A)  # no word hashes to these but by chance
@@ -67,6 +67,19 @@ def longer(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, the number of each place's key, and how often each occurs. (np.unique would
+    sort stably, which takes several times as long.)"""
+    order = np.argsort(keys)
+    new = np.empty(len(keys), bool)
+    new[:1] = True
+    np.not_equal(keys[order[1:]], keys[order[:-1]], out=new[1:])
+    first = np.flatnonzero(new)
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return keys[order[first]], order[first], number, np.diff(np.append(first, len(keys)))
+
+
 class Block:
     """The tokens of a block of documents. Per length n: the sorted distinct n-grams `keys[n]`, the block's own
     counts `own[n]`, and per token the place of the n-gram that ends there, `at[n]` (-1: none so long). Length 1 also
@@ -95,10 +108,10 @@ class Block:
                 context[starts] = -1
             some = np.flatnonzero(context >= 0)
             key = np.where(context >= 0, longer(before, word), np.uint64(0))
-            self.keys[n], first, inverse, self.own[n] = np.unique(key[some], return_index=True, return_inverse=True, return_counts=True)
+            self.keys[n], one, inverse, self.own[n] = distinct(key[some])
             self.at[n] = np.full(len(at), -1, np.int64)
             self.at[n][some] = inverse
-            self.ends[n] = context[some[first]], self.at[n - 1][some[first]]
+            self.ends[n] = context[some[one]], self.at[n - 1][some[one]]
 
     def context(self, n: int) -> np.ndarray:
         """Per token the place of the context of its n-gram among those of length n - 1 (-1: none)."""
@@ -141,7 +154,7 @@ def _pack_blocks():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, made, hashes_of = TaskContext.get().partitionId(), 0, in_worker("words", WordHashes)
+        task, made = TaskContext.get().partitionId(), 0
         held: list[tuple[list, list, list[np.ndarray]]] = [([], [], []) for _ in range(3)]
         tokens = [0, 0, 0]
 
@@ -158,7 +171,7 @@ def _pack_blocks():
         for b in batches:
             kind = b.column("doc_id").type
             for doc_id, rest, text in zip(b.column("doc_id").to_pylist(), b.column("rest").to_pylist(), b.column("text")):
-                words = hashes_of.of(text.as_py())
+                words = word_hashes(text.as_py())
                 h = np.empty(len(words) + 1, np.uint64)
                 h[:-1] = words
                 h[-1] = END
@@ -214,17 +227,16 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     parts = pdf["part"].to_numpy()
     keys = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in pdf["keys"]]
     size = np.array([len(x) for x in keys])
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    del keys
+    keys, _, at, _ = distinct(np.concatenate(keys))
     counts, part = np.concatenate([unpack(x, np.int64) for x in pdf["counts"]]), np.repeat(parts, size)
-    kept, every = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+    kept, every = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     np.add.at(kept, at[part == TRAIN], counts[part == TRAIN])
     np.add.at(every, at[part != OUT], counts[part != OUT])
     rows, ends = [], np.cumsum(size)
     for s, e, p, block in zip(ends - size, ends, parts, pdf["block"]):
         rows.append((n, place, block, pack(every[at[s:e]]), pack(kept[at[s:e]]) if p == DEL else b""))
     if n == 1:
-        word = distinct != START
+        word = keys != START
         stats = [every[word].sum(), (every[word] > 0).sum(), kept[word].sum(), (kept[word] > 0).sum()]
         rows.append((n, place, -1, np.array(stats, np.int64).tobytes(), b""))
     return pd.DataFrame(rows, columns=["length", "range", "block", "every", "kept"])
