@@ -22,6 +22,7 @@ class Explained:
     scanned: int | None = None
     matched: int | None = None
     seconds: float | None = None
+    phases: tuple[tuple[str, float], ...] = ()
 
 
 def explain(df: DataFrame, request: FindRequest, id_field: str = "_id", dry_run: bool = True) -> Explained:
@@ -33,10 +34,16 @@ def explain(df: DataFrame, request: FindRequest, id_field: str = "_id", dry_run:
     if strategy == "index_eq" and index in df.columns:
         n, distinct = df.agg(F.count(F.lit(1)), F.approx_count_distinct(named(index))).first()
         estimated = round(n / max(1, distinct))
+    began = time.perf_counter()
     out = find(df, request, id_field)
     plan = out._jdf.queryExecution().explainString(out.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    planned = time.perf_counter() - began
     if dry_run:
         return Explained(strategy, index, estimated, plan)
     began = time.perf_counter()
+    scanned = df.count()
+    between = time.perf_counter()
     matched = out.count()
-    return Explained(strategy, index, estimated, plan, df.count(), matched, time.perf_counter() - began)
+    ended = time.perf_counter()
+    phases = (("plan", planned), ("scan", between - began), ("match", ended - between))
+    return Explained(strategy, index, estimated, plan, scanned, matched, sum(took for _, took in phases), phases)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -74,6 +75,30 @@ def posting_list(df: DataFrame, field: str, key: str) -> DataFrame:
     return df.groupBy(field).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("min_key"), F.max(key).alias("max_key"))
 
 
+def ordered_dump(df: DataFrame, field: str, key: str) -> DataFrame:
+    """(field, key, place): all entries of an index in the order of field, then key. A posting list is a run of places,
+    however long."""
+    return numbered(df.where(F.col(field).isNotNull()).select(field, key).orderBy(field, key))
+
+
+def numbered(ordered: DataFrame) -> DataFrame:
+    """Rows of a DataFrame that ends in orderBy with `place`, from 1. Sorted partitions are checkpointed; a place is that
+    in the partition plus the sizes of the partitions before, of which there is one row each, so that no window sees all
+    rows."""
+    spark = ordered.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        there = spark.conf.get("spark.checkpoint.dir", None)
+        if not there and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(there or f"{tempfile.gettempdir()}/quillon-checkpoints")
+    held = ordered.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).checkpoint()
+    sizes = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    joined = held.join(F.broadcast(before), "_part")
+    return joined.withColumn("place", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_at", "_before")
+
+
 def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     """The n rows of the least keys with their rank; a top-k before the rank, which then sees n rows."""
     return df.orderBy(key).limit(n).withColumn("rank", F.row_number().over(W.orderBy(key)).cast("long"))

@@ -37,6 +37,11 @@ def bloom_bits(df: DataFrame, column: str, m: int, k: int) -> DataFrame:
     return df.select(F.explode(bloom_positions(F.col(column), m, k)).alias("bit")).distinct()
 
 
+def bloom_fill(bits: DataFrame, m: int, k: int) -> DataFrame:
+    """One row: m, k, popcount (set bits) and the false-positive rate that their share implies."""
+    return bits.agg(F.lit(m).cast("long").alias("m"), F.lit(k).cast("long").alias("k"), F.count(F.lit(1)).alias("popcount"), F.pow(F.count(F.lit(1)) / F.lit(float(m)), F.lit(float(k))).alias("rate"))
+
+
 def bloom_matches(probe: DataFrame, column: str, bits: DataFrame, m: int, k: int) -> DataFrame:
     """Rows of probe that may be in the filter: all their bits are set."""
     own = probe.select(column).distinct().withColumn("bit", F.explode(F.array_distinct(bloom_positions(F.col(column), m, k))))
@@ -62,18 +67,21 @@ def hll_union(*registers: DataFrame) -> DataFrame:
 
 
 def hll_estimate(registers: DataFrame, p: int = 10) -> DataFrame:
-    """One row, estimate: harmonic mean of the registers, linear counting while some are empty and it is small."""
+    """One row, estimate: harmonic mean of the registers, linear counting while some are empty and it is small, and
+    beyond 2^32 / 30 corrected for values that share a 32-bit hash."""
     m = 1 << p
     sums = registers.agg(F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col("rank"))), F.lit(0.0)).alias("s"), F.count(F.lit(1)).alias("n"))
     raw = F.lit(0.7213 / (1 + 1.079 / m) * m * m) / (F.col("s") + (m - F.col("n")))
     small = F.lit(float(m)) * F.ln(F.lit(float(m)) / (m - F.col("n")))
-    return sums.select(F.round(F.when((raw <= 2.5 * m) & (F.col("n") < m), small).otherwise(raw), 6).alias("estimate"))
+    top = float(1 << 32)
+    large = F.lit(-top) * F.ln(F.lit(1.0) - F.least(raw, F.lit(top - 1)) / F.lit(top))
+    return sums.select(F.round(F.when((raw <= 2.5 * m) & (F.col("n") < m), small).when(raw > top / 30, large).otherwise(raw), 6).alias("estimate"))
 
 
-def cms_cells(df: DataFrame, column: str, width: int = 2000, depth: int = 7) -> DataFrame:
-    """(row, col, n): counters of a Count-Min sketch, at most width * depth rows. Values are counted first,
-    so a frequent value crosses the shuffle once per task."""
-    per_value = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+def cms_cells(df: DataFrame, column: str, width: int = 2000, depth: int = 7, times: str | None = None) -> DataFrame:
+    """(row, col, n): counters of a Count-Min sketch, at most width * depth rows. times: a column that says how often a row's
+    value is added. Values are counted first, so a frequent value crosses the shuffle once per task."""
+    per_value = df.where(F.col(column).isNotNull()).groupBy(column).agg((F.sum(times) if times else F.count(F.lit(1))).alias("n"))
     cell = per_value.select("n", F.explode(_cells(F.col(column), width, depth)).alias("c"))
     return cell.groupBy(F.col("c.row").alias("row"), F.col("c.col").alias("col")).agg(F.sum("n").alias("n"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.operators import log as L
@@ -77,13 +76,13 @@ def q13_empty_result(spark, sf_dir):
     return find(table(spark, sf_dir, "events"), FindRequest((Filter("value", "gt", 1e9),)), "event_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SORT = "SELECT o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice {}, o_orderkey) AS place FROM orders"
+_SORT = "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice {}, CAST(o_orderkey AS VARCHAR)) AS place FROM orders"
 
 
 def _sorted(spark, sf_dir, ascending):
-    # the place within a status shows the order in a comparison that ignores it
-    key = F.col("o_totalprice").asc() if ascending else F.col("o_totalprice").desc()
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.row_number().over(W.partitionBy("o_orderstatus").orderBy(key, "o_orderkey")).cast("long").alias("place"))
+    """find's sort without a limit; the place of each row shows its order in a comparison that ignores it."""
+    request = FindRequest(sort_by="o_totalprice", ascending=ascending, projection=("o_orderkey", "o_totalprice"))
+    return L.numbered(find(table(spark, sf_dir, "orders"), request, "o_orderkey", native_sort=True))
 
 
 @query(_SORT.format("ASC"))
@@ -121,10 +120,10 @@ def q22_update_merge(spark, sf_dir):
     return L.merge_update(orders, patch, "o_orderkey", {"o_orderpriority": F.col("o_orderkey") % 2 == 0})
 
 
-@query("SELECT count(*) AS n FROM orders a WHERE o_orderkey % 3 = 0 AND EXISTS (SELECT 1 FROM orders b WHERE b.o_orderkey = a.o_orderkey AND b.o_orderkey % 2 = 0)")
+@query("SELECT count(*) AS n FROM orders a WHERE EXISTS (SELECT 1 FROM orders b WHERE b.o_orderkey = a.o_orderkey AND b.o_orderstatus = 'F')")
 def q23_insert_dup_check(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    return L.duplicates(orders.where("o_orderkey % 3 = 0"), orders.where("o_orderkey % 2 = 0"), "o_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    orders = table(spark, sf_dir, "orders")
+    return L.duplicates(orders.select("o_orderkey"), orders.where("o_orderstatus = 'F'").select("o_orderkey"), "o_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -276,3 +275,32 @@ def q40_field_cardinality(spark, sf_dir):
 def q48_native_sketches(spark, sf_dir):
     out = K.native_sketches(table(spark, sf_dir, "events"), "user_id")
     return out.select("distinct", F.hll_sketch_estimate("hll").alias("hll_estimate"), F.octet_length("cms").alias("cms_bytes"))
+
+
+@query("SELECT event_type, event_id, row_number() OVER (ORDER BY event_type, event_id) AS place FROM events WHERE event_type IS NOT NULL")
+def q49_ordered_dump(spark, sf_dir):
+    return L.ordered_dump(table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+_WEIGHTS = " UNION ALL ".join(f"SELECT CAST({r} AS BIGINT) AS row, CAST('0x' || substr(md5('{r}:' || CAST(l_suppkey AS VARCHAR)), 1, 8) AS BIGINT) % 2000 AS col, l_linenumber FROM lineitem" for r in range(7))
+
+
+@query(f"SELECT row, col, CAST(sum(l_linenumber) AS BIGINT) AS n FROM ({_WEIGHTS}) GROUP BY 1, 2")
+def q50_cms_add_n(spark, sf_dir):
+    return K.cms_cells(table(spark, sf_dir, "lineitem"), "l_suppkey", times="l_linenumber").withColumn("n", F.col("n").cast("long"))
+
+
+@query(f"SELECT CAST({_M} AS BIGINT) AS m, CAST({_K} AS BIGINT) AS k, count(*) AS popcount, pow(count(*) / {_M}.0, {_K}) AS rate FROM ({_BITS})")
+def q51_bloom_fill(spark, sf_dir):
+    return K.bloom_fill(K.bloom_bits(table(spark, sf_dir, "customer"), "c_custkey", _M, _K), _M, _K)
+
+
+_NAMES = ("c_name", "c_nationkey", "c_mktsegment")
+_REG = "SELECT '{0}' AS field, h // 4194304 AS reg, max(CASE WHEN h % 4194304 = 0 THEN 23 ELSE 22 - CAST(floor(log2(h % 4194304)) AS BIGINT) END) AS rank FROM (SELECT {1} AS h FROM customer) GROUP BY 2"
+
+
+@query("WITH g AS (" + " UNION ALL ".join(_REG.format(c, _hash_sql(c)) for c in _NAMES) + "), s AS (SELECT field, sum(pow(2.0, -rank)) AS s, count(*) AS n FROM g GROUP BY 1), r AS (SELECT field, n, (0.7213 / (1 + 1.079 / 1024) * 1024 * 1024) / (s + (1024 - n)) AS raw FROM s) SELECT field, round(CASE WHEN raw <= 2560 AND n < 1024 THEN 1024 * ln(1024.0 / (1024 - n)) ELSE raw END, 6) AS estimate FROM r")
+def q52_approx_cardinality(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    parts = [K.hll_estimate(K.hll_registers(customer, c)).select(F.lit(c).alias("field"), "estimate") for c in _NAMES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

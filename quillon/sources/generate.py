@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: City and country go together.
 PLACES = (("mexico city", "mx"), ("guadalajara", "mx"), ("new york", "us"), ("austin", "us"), ("madrid", "es"), ("lyon", "fr"))
-NAMES = ("alice", "bob", "carol", "dave", "erin", "frank", "grace", "heidi")
+NAMES = ("quentin", "rosa", "stefan", "tamsin", "ulla", "viktor", "wanda", "yusuf")
 CATEGORIES = ("tech", "food", "travel", "music")
 
 
@@ -24,3 +26,17 @@ def documents(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
         F.format_string("doc-%012d", "id").alias("_id"), pick(NAMES, 1).alias("name"), number(20, 64, 2).alias("age"), at(0).alias("city"), at(1).alias("country"),
         pick(CATEGORIES, 4).alias("category"), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(5)), F.lit(2)) == 1).alias("active"), number(0, 99, 6).alias("score"), F.col("id").cast("double").alias("seq"),
     )
+
+
+def main() -> None:
+    """python -m quillon.sources.generate N PATH: seed a store with N documents."""
+    from quillon.operators.log import INSERT
+
+    spark = SparkSession.builder.appName("quillon").getOrCreate()
+    made = documents(spark, int(sys.argv[1]))
+    rows = made.select(F.monotonically_increasing_id().alias("seq"), F.lit(INSERT).alias("op"), "_id", F.to_json(F.struct(*made.columns)).alias("doc"))
+    rows.write.parquet(f"{sys.argv[2]}/log/gen=0/batch={0:020d}")
+
+
+if __name__ == "__main__":
+    main()

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import struct
+import sys
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -75,10 +76,62 @@ def read(spark: SparkSession, path: str, layout: int = 2) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def _ordered(records: DataFrame) -> DataFrame:
+    """Readable records with seq as (number in the file's name, file, place), so that 10.log follows 2.log."""
+    number = F.regexp_extract("file", r"([0-9]{1,18})[^/0-9]*$", 1)
+    return records.where("ok").withColumn("seq", F.struct(F.when(number != "", number.cast("long")).otherwise(0).alias("number"), "file", F.col("seq").alias("at")))
+
+
 def live(records: DataFrame) -> DataFrame:
     """(_id, payload) of the live documents: later files, then later records win."""
-    ordered = records.where("ok").select("_id", "op", "payload", F.struct("file", "seq").alias("seq"))
-    return replay(ordered).select("_id", "payload")
+    return replay(_ordered(records).select("_id", "op", "payload", "seq")).select("_id", "payload")
+
+
+def index(records: DataFrame) -> DataFrame:
+    """(_id, file, offset) of the record that holds each live document."""
+    return replay(_ordered(records).select("_id", "op", "file", "offset", "seq")).select("_id", "file", "offset")
+
+
+def save_index(index: DataFrame, path: str) -> None:
+    """Write an index sorted by _id within its files, with a Bloom filter on _id in each."""
+    index.repartitionByRange("_id").sortWithinPartitions("_id").write.mode("overwrite").option("parquet.bloom.filter.enabled#_id", "true").parquet(path)
+
+
+def read_at(spark: SparkSession, entries: DataFrame, layout: int = 2) -> DataFrame:
+    """(_id, file, offset, found, payload): the record at each entry's place; found is the _id that it has, null where there
+    is no readable record. A task reads the files of its entries once each."""
+    names = [r["file"] for r in entries.select("file").distinct().collect()]  # one row per file
+    schema = "_id string, file string, offset long, found string, payload string"
+    if not names:
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").load(names).select(F.col("path").alias("file"), "content")
+
+    def run(wanted: pd.DataFrame, content: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        data = content["content"].iloc[0] if len(content) else b""
+        for key, file, offset in zip(wanted["_id"], wanted["file"], wanted["offset"]):
+            record = next(decode(data[offset:], layout), None)
+            rows.append((key, file, offset, record["_id"] if record else None, record["payload"] if record else None))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return entries.select("_id", "file", "offset").groupBy("file").cogroup(files.groupBy("file")).applyInPandas(run, schema)
+
+
+def spot_check(spark: SparkSession, index: DataFrame, layout: int = 2) -> bool:
+    """Whether the records of the first and the last _id of an index are where it says."""
+    ends = index.orderBy("_id").limit(1).unionByName(index.orderBy(F.col("_id").desc()).limit(1))
+    return read_at(spark, ends, layout).where("found is null or found <> _id").limit(1).count() == 0
+
+
+def open_index(spark: SparkSession, path: str, saved: str, layout: int = 2) -> DataFrame:
+    """The index saved at `saved` if it is there and passes the spot check; else it is rebuilt from the log and saved."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{saved}/_SUCCESS")
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        held = spark.read.schema("_id string, file string, offset long").parquet(saved)
+        if spot_check(spark, held, layout):
+            return held
+    save_index(index(read(spark, path, layout)), saved)
+    return spark.read.schema("_id string, file string, offset long").parquet(saved)
 
 
 def migrate(spark: SparkSession, path: str, out: str) -> int:
@@ -86,3 +139,13 @@ def migrate(spark: SparkSession, path: str, out: str) -> int:
     rows = live(read(spark, path, layout=1)).select(F.lit(0).cast("long").alias("seq"), F.lit(INSERT).alias("op"), "_id", F.col("payload").alias("doc"))
     rows.sortWithinPartitions("_id").write.parquet(out)
     return spark.read.parquet(out).count()
+
+
+def main() -> None:
+    """python -m quillon.sources.wal OLD NEW: migrate version-1 files."""
+    old, new = sys.argv[1:3]
+    print(f"{migrate(SparkSession.builder.appName('quillon').getOrCreate(), old, new)} document(s)")
+
+
+if __name__ == "__main__":
+    main()
