@@ -331,13 +331,13 @@ def _spanning(members: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list, of different components, that pass the filters. members: token, cid, early, comp. Lists up to
+    """Pairs of one list, of different components, that sizes and signatures allow; `verified` has the prefixes. members: token, cid, early, comp. Lists up to
     LIST_BLOCK classes are compared inside a task; a longer one is cut into blocks, two of which are compared inside a
     task."""
     rows = _spanning(members)
-    about = slim.join(rows.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("n", "sig", "p1", "p2")).alias("x"))
+    about = slim.join(rows.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("n", "sig")).alias("x"))
     full = rows.join(about.select("cid", "x.*"), "cid")
-    item = F.struct("cid", "comp", "n", "sig", "early", "p1", "p2")
+    item = F.struct("cid", "comp", "n", "sig", "early")
     whole = full.where(F.col("size") <= LIST_BLOCK).groupBy("token").agg(F.collect_list(item).alias("items")).select("items", F.col("items").alias("others"))
     part = F.pmod(F.xxhash64("cid", F.lit(2)), F.ceil(F.col("size") / LIST_BLOCK)).alias("part")
     blocks = cut(full.where(F.col("size") > LIST_BLOCK).groupBy("token", part).agg(F.collect_list(item).alias("items")))
@@ -346,7 +346,7 @@ def _across(members: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
 
     def columns(items: pa.ListScalar) -> tuple:
         x = items.values.flatten()
-        sides = [Filters(*y) for y in zip(*[x[i].to_pylist() for i in (2, 3, 5, 6)])]
+        sides = [Filters(*y) for y in zip(*[x[i].to_pylist() for i in (2, 3)])]
         return x[0].to_numpy(), x[1].to_numpy(), x[2].to_numpy(), x[4].to_numpy(zero_copy_only=False), sides
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
