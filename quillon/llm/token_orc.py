@@ -8,6 +8,7 @@ files without rows and reads back as an empty table; further columns are ignored
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -37,6 +38,22 @@ SCHEMA = T.StructType(
 OPTIONS = {"compression": "snappy", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20)}
 
 
+# The steps of a tokenizer whose ids of a text are those of its lower-cased words in order.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def by_words(model: str) -> bool:
+    """Whether a tokenizer takes the steps that encoding word by word relies on."""
+    said = json.loads(model)
+    steps = (said.get("normalizer") or {}).get("normalizers"), (said.get("pre_tokenizer") or {}).get("pretokenizers")
+    bpe = said["model"]
+    return steps == (NORMALIZERS, PRE_TOKENIZERS) and bpe.get("type") == "BPE" and bpe.get("end_of_word_suffix") == "</w>" and not bpe.get("dropout") and not bpe.get("continuing_subword_prefix") and all(t["special"] and t["content"].startswith("<|") for t in said["added_tokens"])
+
+
 def _byte_letters() -> dict[int, str]:
     """The letters by which the byte-level step writes bytes: printable ones as they are, the rest from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -49,13 +66,15 @@ class Encoder:
     characters across it, so the ids of a text are those of its lower-cased words in order. A word that ends in
     a letter and ASCII punctuation gives the ids of its two parts. A word of letters alone, in normal form and
     lower case, is one piece to the tokenizer and goes to its model directly. Texts with a special token's
-    opening are encoded whole."""
+    opening are encoded whole, and so are all texts if the tokenizer takes other steps (`by_words`)."""
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_str(model)
+        self.tokenizer, self.word_wise = Tokenizer.from_str(model), by_words(model)
+        if not self.word_wise:
+            return
         # The separator must be a special token, which cuts the text before anything else looks at it.
         self.mark = next((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special)
         self.pieces = Tokenizer.from_str(model)
@@ -117,6 +136,9 @@ class Encoder:
         cache.update((w, cache[core] + cache[rest]) for w, core, rest in parts)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if not self.word_wise:
+            found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)
+            return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
         split = [None if b"<|" in t else t.lower().split() for t in texts]
         new: set[bytes] = set().union(*(words for words in split if words))
         if len(self.cache) > CACHE_WORDS:

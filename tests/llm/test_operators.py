@@ -394,6 +394,29 @@ def test_token_files(spark, docs, empty, rows, tmp_path):
     assert token_orc.digests(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_another_tokenizer_encodes_whole_texts(spark, docs, rows, tmp_path):
+    model, path = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "orc")
+    tok = Tokenizer.from_file(model)
+    token_orc.write(docs, path, model)
+    got = [(r["doc_id"], [x & 0xFFFFFFFF for x in r["ids"]]) for r in token_orc.read(spark, path).collect()]
+    same(got, [(k, [*tok.encode(t or "", add_special_tokens=False).ids, 1]) for k, t in rows])
+    read = lambda name: open(public_tokenizers.path(name), encoding="utf-8").read()
+    assert token_orc.by_words(read("word_bpe_49k.json")) and not token_orc.by_words(read("byte_bpe_50k.json"))
+
+
+def test_reading_one_document_skips_row_groups(spark, tmp_path):
+    path = str(tmp_path / "orc")
+    token_orc.write(spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text")), path, public_tokenizers.path("word_bpe_49k.json"))
+    found = token_orc.read(spark, path, [7777])
+    assert [r["doc_id"] for r in found.collect()] == [7777]
+    plan = found._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    assert "In(doc_id" in plan.toString() or "EqualTo(doc_id" in plan.toString()
+    assert 0 < plan.metrics().apply("numOutputRows").value() <= 2000  # one row group of 30,000 rows
+
+
 def test_language_model(docs, empty, rows):
     got = lm_score.score(docs)
     out = got.collect()
