@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -150,6 +152,26 @@ def ascii_lower(text: Column) -> Column:
     return F.when(other, F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
 
 
+def trim() -> None:
+    """Give a worker's free memory back to the system. Spark keeps idle workers for a minute, and what they hold counts
+    against the executor that the next stage needs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function for mapInArrow that trims when its task ends."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 _HELD: dict = {}
 
 

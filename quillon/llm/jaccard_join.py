@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, mix, word_hashes
+from quillon.llm.common import cut, mix, trim, trimmed, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: Seeds of the further orders; their prefixes are the columns p1 and p2.
@@ -246,6 +246,7 @@ def _pairs(percent: int):
         star &= (count > 2) | _met(size, early, size[lead], early[lead])
         rest = (count >= 3) & some
         pairs = np.unique(np.stack([cid[lead][star], cid[star]], 1), axis=0)
+        trim()
         return pd.DataFrame(
             {
                 "kind": np.concatenate([np.zeros(len(pairs), np.int32), np.ones(rest.sum(), np.int32)]),
@@ -312,14 +313,14 @@ def verified(texts: DataFrame, slim: DataFrame, pairs: DataFrame, n: int, percen
     about = slim.join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "cid", "left_semi")
     about = cut(about.groupBy("cid").agg(F.min(F.struct("fk", "n", "sig", "p1", "p2")).alias("x")).select("cid", "x.*"))
     sides = [about.select(F.col("cid").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("n", "sig", "p1", "p2")]) for c in "ab"]
-    pairs = cut(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_filtered(percent), LINKS))
+    pairs = cut(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(trimmed(_filtered(percent)), LINKS))
     keys = cut(about.join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "cid", "left_semi").select(F.col("fk").alias("k")).distinct())
     few = keys.limit(KEY_ROWS + 1).count() <= KEY_ROWS
     some = texts.join(F.broadcast(keys) if few else keys, F.col("fk") == F.col("k"), "left_semi").select("text")
-    sets = cut(some.mapInArrow(_sets(n, shared), "cid long, tokens binary"))
+    sets = cut(some.mapInArrow(trimmed(_sets(n, shared)), "cid long, tokens binary"))
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b")
-    return cut(both.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), LINKS).distinct())
+    return cut(both.select("a", "b", "ta", "tb").mapInArrow(trimmed(_verify(percent)), LINKS).distinct())
 
 
 def _spanning(members: DataFrame) -> DataFrame:
@@ -360,7 +361,7 @@ def _across(members: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
             pairs = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return both.mapInArrow(run, LINKS)
+    return both.mapInArrow(trimmed(run), LINKS)
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -390,14 +391,14 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tuple[Da
     spark: SparkSession = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), *_keys(F.col("doc_id"), F.col("text")))
-    first = cut(texts.mapInArrow(_sizes_and_sketch(n, percent), f"doc_id {kind}, {SLIM}, block int, counts binary"))
+    first = cut(texts.mapInArrow(trimmed(_sizes_and_sketch(n, percent)), f"doc_id {kind}, {SLIM}, block int, counts binary"))
     rows = first.where("block is null").select("doc_id", *[c.split()[0] for c in SLIM.split(", ")])
     shared = _shared(rows)
     slim = (rows.withColumn("cid", F.when(F.col("cid").isin(list(shared)), F.col("ak")).otherwise(F.col("cid"))) if shared else rows).drop("ck", "ak")
     merged = {r["block"]: bytes(r["level"]) for r in first.where("block is not null").select("block", "counts").groupBy("block").applyInPandas(_sum_blocks, "block int, level binary").collect()}  # BLOCKS rows, COUNTERS bytes in all
     level = spark.sparkContext.broadcast(b"".join(merged.get(i, bytes(COUNTERS // BLOCKS)) for i in range(BLOCKS)))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(texts.select("text").mapInArrow(_postings(n, percent, level, ranges, shared), "range int, block binary").groupBy("range").applyInPandas(_pairs(percent), "kind int, a long, b long, early boolean"))
+    found = cut(texts.select("text").mapInArrow(trimmed(_postings(n, percent, level, ranges, shared)), "range int, block binary").groupBy("range").applyInPandas(_pairs(percent), "kind int, a long, b long, early boolean"))
     pairs = cut(found.where("kind = 0").select("a", "b").distinct())
     links = verified(texts, slim, pairs, n, percent, shared)
     comps = connected(links)

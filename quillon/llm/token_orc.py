@@ -21,17 +21,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import in_worker, join_small
+from quillon.llm.common import in_worker, join_small, trimmed
 
 END = 1
 #: Words whose ids a worker keeps before it starts anew, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
+CACHE_WORDS, CACHE_CHARS = 300_000, 64
 #: ASCII punctuation that may be cut from the end of a word: all but the apostrophe, which starts contractions.
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Texts that are encoded together.
 GROUP = 256
 #: Ids in one output batch.
-BATCH_IDS = 2_000_000
+BATCH_IDS = 1_000_000
 SCHEMA = T.StructType(
     [T.StructField("part", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("local_start", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
 )
@@ -191,7 +191,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
         model = f.read()
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ordered.mapInArrow(_write_batches(model, end), SCHEMA).write.options(**OPTIONS).orc(path)
+    ordered.mapInArrow(trimmed(_write_batches(model, end)), SCHEMA).write.options(**OPTIONS).orc(path)
 
 
 def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -216,5 +216,5 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     totals = read(spark, path).groupBy("part").agg(F.sum(F.col("n").cast("long")).alias("in_part"))
     w = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select(F.col("part").alias("p"), F.coalesce(F.sum("in_part").over(w), F.lit(0)).alias("before"))
-    rows = read(spark, path).drop("n").mapInArrow(_digests, "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    rows = read(spark, path).drop("n").mapInArrow(trimmed(_digests), "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
     return join_small(rows, starts, F.col("part") == F.col("p"), "inner").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
