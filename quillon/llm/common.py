@@ -109,6 +109,14 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(table)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder as Parquet and reread. Other than a checkpoint it does not keep the partitioning, so
+    that a join shuffles it and adaptive execution can split the other side's hot keys."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.option("compression", "none").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def forget(spark: SparkSession) -> None:
     """Let the cleaner remove the shuffle files of plans that nobody holds any more, which else stay until the
     driver happens to collect its garbage."""

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, mix, trim, trimmed, word_hashes
+from quillon.llm.common import bucketed, cut, mix, stored, trim, trimmed, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: Seeds of the further orders; their prefixes are the columns p1 and p2.
@@ -260,11 +260,18 @@ def _pairs(percent: int):
 
 
 def _sets(n: int, shared: frozenset[int]):
+    """Rows (cid, tokens); of repeated rows in a partition one goes on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(n)
+        shingle, known = Shingler(n), set()
         for b in batches:
-            got = [shingle(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([class_id(x, shared) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], names=["cid", "tokens"])
+            got = {}
+            for text in b.column("text"):
+                tokens = shingle(text.as_py())
+                if (cid := class_id(tokens, shared)) not in known:
+                    known.add(cid)
+                    got[cid] = tokens.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], names=["cid", "tokens"])
 
     return run
 
@@ -307,22 +314,29 @@ def _verify(percent: int):
     return run
 
 
-def verified(texts: DataFrame, slim: DataFrame, pairs: DataFrame, n: int, percent: int, shared: frozenset[int]) -> DataFrame:
+def verified(texts: DataFrame, about: DataFrame, pairs: DataFrame, n: int, percent: int, shared: frozenset[int]) -> DataFrame:
     """The pairs that link. The filters drop the pairs that cannot; of each class of the others one text is
-    fetched by its key and its set rebuilt. Up to KEY_ROWS keys are broadcast, beyond that texts are shuffled."""
-    about = slim.join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "cid", "left_semi")
-    about = cut(about.groupBy("cid").agg(F.min(F.struct("fk", "n", "sig", "p1", "p2")).alias("x")).select("cid", "x.*"))
+    fetched by its key and its set rebuilt. Up to KEY_ROWS keys are broadcast, beyond that texts are shuffled.
+    about: a row per class. What pairs are joined with is stored without its partitioning, so that adaptive execution may
+    split a leader's pairs."""
+    about = stored(about.join(_sides(pairs), "cid", "left_semi"), "jaccard-about")
     sides = [about.select(F.col("cid").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("n", "sig", "p1", "p2")]) for c in "ab"]
     pairs = cut(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(trimmed(_filtered(percent)), LINKS))
-    keys = cut(about.join(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "cid", "left_semi").select(F.col("fk").alias("k")).distinct())
+    keys = cut(about.join(_sides(pairs), "cid", "left_semi").select(F.col("fk").alias("k")).distinct())
     few = keys.limit(KEY_ROWS + 1).count() <= KEY_ROWS
     some = texts.join(F.broadcast(keys) if few else keys, F.col("fk") == F.col("k"), "left_semi").select("text")
-    sets = cut(some.mapInArrow(trimmed(_sets(n, shared)), "cid long, tokens binary"))
+    sets = stored(some.mapInArrow(trimmed(_sets(n, shared)), "cid long, tokens binary"), "jaccard-sets")
+    if sets.groupBy("cid").count().where("count > 1").limit(1).count():  # rows repeated in several partitions
+        sets = stored(sets.groupBy("cid").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b")
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(trimmed(_verify(percent)), LINKS).distinct())
 
 
+def _sides(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+
+
 def _spanning(members: DataFrame) -> DataFrame:
     """members (token, cid, early, comp) of the lists that span components, with the list's size; of lists with the
     same members one is enough."""
@@ -331,13 +345,12 @@ def _spanning(members: DataFrame) -> DataFrame:
     return cut(members.join(some, "token"))
 
 
-def _across(members: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+def _across(members: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     """Pairs of one list, of different components, that sizes and signatures allow; `verified` has the prefixes. members: token, cid, early, comp. Lists up to
     LIST_BLOCK classes are compared inside a task; a longer one is cut into blocks, two of which are compared inside a
     task."""
     rows = _spanning(members)
-    about = slim.join(rows.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("n", "sig")).alias("x"))
-    full = rows.join(about.select("cid", "x.*"), "cid")
+    full = rows.join(about.select("cid", "n", "sig"), "cid")
     item = F.struct("cid", "comp", "n", "sig", "early")
     whole = full.where(F.col("size") <= LIST_BLOCK).groupBy("token").agg(F.collect_list(item).alias("items")).select("items", F.col("items").alias("others"))
     part = F.pmod(F.xxhash64("cid", F.lit(2)), F.ceil(F.col("size") / LIST_BLOCK)).alias("part")
@@ -400,13 +413,16 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tuple[Da
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = cut(texts.select("text").mapInArrow(trimmed(_postings(n, percent, level, ranges, shared)), "range int, block binary").groupBy("range").applyInPandas(_pairs(percent), "kind int, a long, b long, early boolean"))
     pairs = cut(found.where("kind = 0").select("a", "b").distinct())
-    links = verified(texts, slim, pairs, n, percent, shared)
+    # copies meet here after partial aggregation, and no later join takes them to their class's task
+    best = slim.where("n > 0").groupBy("cid").agg(F.min(F.struct("fk", "n", "sig", "p1", "p2")).alias("x"))
+    about = bucketed(best.select("cid", "x.*"), "cid", "jaccard-classes")
+    links = verified(texts, about, pairs, n, percent, shared)
     comps = connected(links)
     lists = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), "early")
     members = cut(lists.join(comps, "cid", "left").select("token", "cid", "early", F.coalesce("comp", "cid").alias("comp")))
-    cross = cut(_across(members, slim, percent).distinct().join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti"))
+    cross = cut(_across(members, about, percent).distinct().join(pairs.union(pairs.select("b", "a")), ["a", "b"], "left_anti"))
     if cross.limit(1).count():
-        comps = connected(links.union(verified(texts, slim, cross, n, percent, shared)))
+        comps = connected(links.union(verified(texts, about, cross, n, percent, shared)))
     return slim, comps
 
 

@@ -497,6 +497,19 @@ def test_jaccard_join_of_a_large_loose_group(spark, monkeypatch, block):
     same(jaccard_join.components(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect(), brute.components(made))
 
 
+def test_repeated_rows_give_one_set_to_a_class(spark, monkeypatch):
+    """Rows equal in id and text, in several partitions: neither classes nor sets are repeated before pairs are joined to them."""
+    base = [f"w{i}" for i in range(60)]
+    made = [(k, " ".join(base[:50] + [f"v{k}"] + base[50:])) for k in (1, 2, 3)] * 12 + [(4, "alone " + " ".join(reversed(base)))] * 5
+    held, bucketed, stored = {}, jaccard_join.bucketed, jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "bucketed", lambda df, key, name: held.setdefault(name, bucketed(df, key, name)))
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name: held.update({name: stored(df, name)}) or held[name])
+    out = jaccard_join.components(spark.createDataFrame(made, "doc_id long, text string").repartition(6))
+    same(out.collect(), brute.components(made))
+    assert held["jaccard-classes"].count() == 4
+    assert held["jaccard-sets"].count() == 3
+
+
 def test_jaccard_join_takes_any_id(spark):
     made = [("b", "one two three four five six"), ("a", "One two three four five six"), (None, "x"), ("c", "")]
     out = jaccard_join.components(spark.createDataFrame(made, "doc_id string, text string"))
