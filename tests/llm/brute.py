@@ -235,6 +235,40 @@ def quality(rows):
     return out
 
 
+def quality_kept(rows, quality, alpha, delta, grids):
+    """Ids that the rules keep. rows: (id, text, stratum); quality: label by id; grids: cutoffs of each rule, strict to lenient."""
+    seen = []
+    for (k, text, stratum), (_, n, chars, symbols, dup, repeat, failed) in zip(rows, quality_measures(rows)):
+        lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+        n = max(n, 1)
+        seen.append((k, stratum, failed, (symbols / n, dup / max(lines, 1), repeat / n, (text or "").count("!") / n, chars / n)))
+    path = [(i, grid[-1 - level]) for level in range(max(map(len, grids))) for i, grid in enumerate(grids) if level < len(grid)]
+    good = collections.defaultdict(list)
+    for k, stratum, failed, m in seen:
+        if quality.get(k) == 1 and not failed:
+            good[stratum].append(m)
+    part = delta / (len(good) + 1)
+    own = {s: s for s, ms in good.items() if (1 - alpha) ** len(ms) <= part}
+    groups = collections.defaultdict(list)
+    for s, ms in good.items():
+        groups[own.get(s, "pool")] += ms
+    cutoffs = {}
+    for group, ms in groups.items():
+        cutoffs[group] = proven = {}
+        tried = {}
+        for i, c in path:
+            tried[i] = c
+            bad = sum(any(m[j] > x for j, x in tried.items()) for m in ms)
+            if sum(math.comb(len(ms), j) * alpha**j * (1 - alpha) ** (len(ms) - j) for j in range(bad + 1)) > part:
+                break
+            proven[i] = c
+    return [k for k, s, failed, m in seen if not failed and not any(m[i] > c for i, c in (cutoffs[own.get(s, "pool")] if s in good else {}).items())]
+
+
+def quality_measures(rows):
+    return quality([r[:2] for r in rows])
+
+
 def lm_scores(rows, order=3, rounds=200):
     """Score of every row by deleted interpolation: plain dictionaries, expectation-maximisation on the tokens themselves."""
     seqs = [["<s>", *(w.translate(LOW) for w in WORD.findall(t or "")), "</s>"] for _, t in rows]
