@@ -38,14 +38,17 @@ LABELS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
 #: Characters of a window, and from one to the next; a span of up to their difference lies whole in a window.
 WINDOW, STRIDE = 512, 448
 HIDDEN, BATCH = 16, 256
+#: Steps of the network that are scored at once.
+STEPS = 16
 #: Least margin of a span of the network over no span, in natural logarithms.
 MARGIN = 2.0
 #: Labelled windows for training, their length, rounds and seed.
 SAMPLES, SAMPLE_CHARS, EPOCHS, SEED = 6000, 128, 10, 7
 
-# Fixed values of the contract; lookbehind and possessive forms keep long runs linear.
+# Fixed values of the contract; lookbehind and possessive forms keep long runs linear. A digit comes before the
+# lookbehind, as the search then runs from digit to digit.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -114,9 +117,9 @@ def init(seed: int = SEED, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _states(p: dict, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """Hidden states (T, B, 2 H) for classes x (T, B). Both directions step together, gate by gate, so that all
-    arrays are contiguous; keep gathers what the gradients need."""
+def _states(p: dict, x: np.ndarray, keep: list) -> np.ndarray:
+    """Hidden states (T, B, 2 H) for classes x (T, B), for training. Both directions step together, gate by gate, so
+    that all arrays are contiguous; keep gathers what the gradients need."""
     t, b = x.shape
     n, kind = p["U"].shape[1], p["U"].dtype
     half = np.array([0.5, 0.5, 0.5, 1.0], kind)[:, None, None, None]  # a sigmoid is a tanh of half its argument
@@ -143,8 +146,7 @@ def _states(p: dict, x: np.ndarray, keep: list | None = None) -> np.ndarray:
         h += th
         h *= kind.type(0.5)
         hs[i, :, :n], hs[t - 1 - i, :, n:] = h[0], h[1]
-        if keep is not None:
-            keep.append((z.copy(), before, th, prev))
+        keep.append((z.copy(), before, th, prev))
     return hs
 
 
@@ -158,11 +160,51 @@ def _by_way(x: np.ndarray) -> np.ndarray:
     return x.transpose(1, 2, 0, 3).reshape(2, x.shape[2], -1)
 
 
+def _aligned(shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+    """An array that begins at a cache line, which numpy's own do not; vector instructions take whole lines."""
+    size = int(np.prod(shape)) * np.dtype(kind).itemsize
+    raw = np.empty(size + 64, np.uint8)
+    at = -raw.ctypes.data % 64
+    return raw[at : at + size].view(kind).reshape(shape)
+
+
 def emissions(p: dict, x: np.ndarray) -> np.ndarray:
-    """x: classes (B, T); scores (B, T, LABELS)."""
+    """x: classes (B, T); scores (B, T, LABELS). The steps are those of `_states`, but nothing is kept: every array is
+    used again, some steps' states are scored while they are in the cache, and weights carry the halves of the gates."""
+    (b, t), n, kind = x.shape, p["U"].shape[1], p["U"].dtype.type
+    half, one = kind(0.5), kind(1)
+    by_gate = np.array([0.5, 0.5, 0.5, 1.0], kind)[:, None, None, None]
+    table, turn, out = _aligned((8 * CLASSES, n), kind), _aligned((4, 2, n, n), kind), _aligned((2, LABELS, n), kind)
+    table[:] = (_by_gate(p["W"] + p["c"][:, None]) * by_gate).reshape(-1, n)
+    turn[:] = _by_gate(p["U"]) * by_gate * half  # h below is twice the state
+    out[:] = p["V"].reshape(2, n, LABELS).transpose(0, 2, 1) * half
     xt = np.ascontiguousarray(x.T, np.intp)
-    flat = _states(p, xt).reshape(xt.size, -1) @ p["V"] + p["d"]
-    return np.ascontiguousarray(flat.T).reshape(LABELS, *xt.shape).transpose(2, 1, 0)  # a label's scores stand together
+    rows, both = np.arange(8).reshape(4, 2, 1) * CLASSES, np.stack([xt, xt[::-1]], 1)[:, None]
+    z, add, c = _aligned((4, 2, b, n), kind), _aligned((4, 2, b, n), kind), _aligned((2, b, n), kind)
+    hs, said = _aligned((STEPS, 2, b, n), kind), _aligned((STEPS, 2, LABELS, b), kind)
+    e = np.empty((t, LABELS, b), kind)
+    e[:] = p["d"][:, None]
+    gates, (gi, gf, go, cell), h = z[:3], z, hs[-1]
+    c[:], h[:] = 0, 0
+    for i in range(0, t, STEPS):
+        k = min(STEPS, t - i)
+        for j, at in enumerate(rows + both[i : i + k]):
+            np.take(table, at, axis=0, out=z, mode="clip")
+            np.matmul(h, turn, out=add)
+            np.add(z, add, out=z)
+            np.tanh(z, out=z)
+            np.add(gates, one, out=gates)  # twice the sigmoids
+            np.multiply(gf, c, out=c)
+            np.multiply(gi, cell, out=cell)
+            np.add(c, cell, out=c)
+            np.multiply(c, half, out=c)
+            h = hs[j]
+            np.tanh(c, out=h)
+            np.multiply(h, go, out=h)
+        np.matmul(out, hs[:k].transpose(0, 1, 3, 2), out=said[:k])
+        e[i : i + k] += said[:k, 0]
+        e[t - i - k : t - i] += said[:k, 1][::-1]
+    return e.transpose(2, 0, 1)  # a label's scores at a place stand together
 
 
 def _step(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
@@ -248,7 +290,7 @@ def certain(p: dict, e: np.ndarray) -> np.ndarray:
     merged into one, whose scores and transitions are their greatest, and even so no run of it gains on none."""
     a = p["A"] - p["A"][0, 0]
     enter, leave, stay = float(a[0, 1:].max()), float(a[1:, 0].max()), float(a[1:, 1:].max())
-    e = e.transpose(2, 1, 0)  # label, place, window: as `emissions` lays them out
+    e = e.transpose(2, 1, 0)  # label, place, window
     best = np.maximum(e[1], e[2])
     for label in e[3:]:
         np.maximum(best, label, out=best)
@@ -263,14 +305,12 @@ def certain(p: dict, e: np.ndarray) -> np.ndarray:
     return gain.max(0) < -1e-2  # more than rounding
 
 
-def decoded(p: dict, x: np.ndarray) -> list[list[tuple[int, int, int, float]]]:
-    """Per window the spans (start, kind, end, margin): what the span's labels and the transitions into, inside
-    and out of it score more than no span."""
-    e = emissions(p, x)
-    out: list[list[tuple[int, int, int, float]]] = [[] for _ in x]
-    some = np.flatnonzero(~certain(p, e))
+def decoded(p: dict, e: np.ndarray) -> list[list[tuple[int, int, int, float]]]:
+    """Per window of scores e the spans (start, kind, end, margin): what the span's labels and the transitions into,
+    inside and out of it score more than no span."""
+    out: list[list[tuple[int, int, int, float]]] = [[] for _ in e]
     a = p["A"] - p["A"][0, 0]
-    for w, path, score in zip(some.tolist(), viterbi(p, e[some]), e[some]) if len(some) else ():
+    for w, (path, score) in enumerate(zip(viterbi(p, e), e)):
         gain = np.cumsum(score[np.arange(len(path)), path] - score[:, 0] + np.concatenate([[0], a[path[:-1], path[1:]]]))
         for i in np.flatnonzero((path > 0) & ((path % 2 == 1) | (np.concatenate([[0], path[:-1]]) == 0))).tolist():
             kind, j = (int(path[i]) - 1) // 2, i + 1
@@ -461,13 +501,22 @@ def find(texts: list[str], model: dict[str, np.ndarray], margin: float = MARGIN)
     """Per text the spans of the patterns and the further spans of the network."""
     found: list[list] = [[] for _ in texts]
     waiting: dict[int, list] = {}  # windows by their length, rounded up
+    unproven: dict[int, list] = {}  # likewise, those that must be decoded, with their scores
 
     def flush(size: int) -> None:
         rows = waiting.pop(size)
         x = np.zeros((len(rows), size), np.uint8)
         for k, (_, _, c) in enumerate(rows):
             x[k, : len(c)] = c
-        for (i, s, _), spans in zip(rows, decoded(model, x)):
+        e = emissions(model, x)
+        for k in np.flatnonzero(~certain(model, e)).tolist():  # few, so they wait for those of other batches
+            unproven.setdefault(size, []).append((*rows[k][:2], e[k].copy()))
+        if len(unproven.get(size, ())) >= BATCH:
+            decode(size)
+
+    def decode(size: int) -> None:
+        rows = unproven.pop(size)
+        for (i, s, _), spans in zip(rows, decoded(model, np.stack([e for _, _, e in rows]))):
             found[i] += [(s + a, k, s + z, w) for a, k, z, w in spans if w >= margin]
 
     for i, text in enumerate(texts):
@@ -480,6 +529,8 @@ def find(texts: list[str], model: dict[str, np.ndarray], margin: float = MARGIN)
                 flush(size)
     for size in sorted(waiting):
         flush(size)
+    for size in sorted(unproven):
+        decode(size)
     out = []
     for text, spans in zip(texts, found):
         base = base_spans(text)

@@ -5,9 +5,11 @@ import base64
 import hashlib
 import math
 import random
+import re
 import subprocess
 import sys
 import time
+import tracemalloc
 import zlib
 
 import brute
@@ -183,6 +185,41 @@ def test_proof_of_no_spans_agrees_with_decoding(pii_model):
     assert 0 < proven.sum() < len(x) and not (pii.viterbi(pii_model, e)[proven] > 0).any()
 
 
+def test_scores_are_those_of_a_plain_network(pii_model):
+    (t, _), *_ = personal_texts(1, 400, 0.3)
+    for b, size in ((1, 1), (7, 45), (3, 64)):
+        x = np.stack([pii.classes(pii.codes(t[5 * k : 5 * k + size])) for k in range(b)])
+        e = pii.emissions(pii_model, x)
+        assert e.shape == (b, size, pii.LABELS)
+        assert all(np.allclose(e[k], brute._network(pii_model, list(x[k])), atol=1e-3) for k in range(b))
+
+
+def test_scoring_keeps_no_states(pii_model):
+    x = np.full((pii.BATCH, pii.WINDOW), 4, np.uint8)
+    tracemalloc.start()
+    pii.emissions(pii_model, x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12e6  # 4.7 MB are scores; with every state kept it took 22.5 MB
+
+
+def test_windows_left_open_are_decoded_together(pii_model, monkeypatch):
+    calls, real = [], pii.viterbi
+    monkeypatch.setattr(pii, "viterbi", lambda p, e: calls.append(len(e)) or real(p, e))
+    plain, at = "the house of the river and the old road " * 13, "mail anna.berg (at) host [dot] org for more, "
+    texts = [at + plain if k % pii.BATCH == 0 else plain for k in range(3 * pii.BATCH)]
+    got = pii.find([t[: pii.WINDOW] for t in texts], pii_model)
+    assert [k for k, (_, more) in enumerate(got) if more] == [0, pii.BATCH, 2 * pii.BATCH]
+    assert len(calls) == 1 and calls[0] >= 3
+
+
+def test_address_pattern_is_the_contract_s():
+    g, contract = random.Random(3), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    made = ["".join(g.choice("0123456789.....a +") for _ in range(g.randint(0, 60))) for _ in range(20_000)] + ["1.2.3.4.5.6.7.8.9", "12345.1.1.1", "1.1.1", "9" * 300]
+    spans = [[m.span() for m in pii.IP.finditer(t)] for t in made]
+    assert spans == [[m.span() for m in contract.finditer(t)] for t in made] and sum(map(len, spans)) > 1000
+
+
 def test_gradients():
     x, y = pii.labelled(3, seed=1)
     p = {k: v.astype(np.float64) for k, v in pii.init(3).items()}
